@@ -21,7 +21,8 @@ RATE = 8000
 PACKET = 4000
 SEGMENTS = 255
 MAGIC = b"\x7fPCM8"
-_HEAD = struct.Struct("<4sBBqIIIB")
+HEAD = "<4sBBqIIIB"
+HEAD_SIZE = struct.calcsize(HEAD)
 #: Each byte with its bits in reverse: the container's checksum shifts left, the library's shifts right.
 _REVERSED = bytes(int(f"{x:08b}"[::-1], 2) for x in range(256))
 
@@ -49,7 +50,7 @@ def _pages(serial: int, packets: list[tuple[bytes, int]]) -> list[tuple[int, byt
     for number, page in enumerate(chunks):
         granule = max((g for _, g, _ in page), default=-1)
         flags = (0 if page[0][2] else 1) | (2 if number == 0 else 0) | (4 if number == len(chunks) - 1 else 0)
-        head = _HEAD.pack(b"OggS", 0, flags, granule, serial, number, 0, len(page)) + bytes(len(p) for p, _, _ in page)
+        head = struct.pack(HEAD, b"OggS", 0, flags, granule, serial, number, 0, len(page)) + bytes(len(p) for p, _, _ in page)
         raw = head + b"".join(p for p, _, _ in page)
         out.append((max(granule, last), raw[:22] + page_crc(raw).to_bytes(4, "little") + raw[26:]))
         last = max(granule, last)
@@ -76,11 +77,11 @@ def demux(media: bytes) -> dict[int, list[tuple[bytes, int]]]:
     numbers: dict[int, int] = {}
     at = 0
     while at < len(media):
-        if len(media) < at + _HEAD.size:
+        if len(media) < at + HEAD_SIZE:
             raise ValueError("page cut off")
-        capture, version, flags, granule, serial, number, crc, n = _HEAD.unpack_from(media, at)
-        lacing = media[at + _HEAD.size : at + _HEAD.size + n]
-        end = at + _HEAD.size + n + sum(lacing)
+        capture, version, flags, granule, serial, number, crc, n = struct.unpack_from(HEAD, media, at)
+        lacing = media[at + HEAD_SIZE : at + HEAD_SIZE + n]
+        end = at + HEAD_SIZE + n + sum(lacing)
         if capture != b"OggS" or version or len(lacing) < n or end > len(media):
             raise ValueError("not a page")
         if page_crc(media[at : at + 22] + b"\0\0\0\0" + media[at + 26 : end]) != crc:
@@ -88,7 +89,7 @@ def demux(media: bytes) -> dict[int, list[tuple[bytes, int]]]:
         if number != numbers.get(serial, -1) + 1 or bool(flags & 1) != bool(partial.get(serial)) or bool(flags & 2) != (number == 0):
             raise ValueError("page order")
         numbers[serial] = number
-        found, own, place = streams.setdefault(serial, []), partial.setdefault(serial, bytearray()), at + _HEAD.size + n
+        found, own, place = streams.setdefault(serial, []), partial.setdefault(serial, bytearray()), at + HEAD_SIZE + n
         for lace in lacing:
             own += media[place : place + lace]
             place += lace

@@ -120,10 +120,10 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame
     slots = F.broadcast(plan.groupBy("length").agg(F.sort_array(F.collect_list(F.struct("first_rank", "n", "first_sequence", "offset"))).alias("slots")))
     ranked = cut.join(before.select("length", "part", F.coalesce("before", F.lit(0)).alias("before")), ["length", "part"]).withColumn("rank", F.col("nth") + F.col("before"))
     # The last range that starts at or before the rank, by bisection of the sorted array.
-    step = F.aggregate(
-        F.sequence(F.lit(20), F.lit(0), F.lit(-1)),
-        F.lit(1),
-        lambda at, k: F.when((at + F.shiftleft(F.lit(1), k) <= F.size("slots")) & (F.try_element_at("slots", at + F.shiftleft(F.lit(1), k))["first_rank"] <= F.col("rank")), at + F.shiftleft(F.lit(1), k)).otherwise(at),
-    )
+    def further(at, k):
+        ahead = at + F.call_function("shiftleft", F.lit(1), k)
+        return F.when((ahead <= F.size("slots")) & (F.try_element_at("slots", ahead)["first_rank"] <= F.col("rank")), ahead).otherwise(at)
+
+    step = F.aggregate(F.sequence(F.lit(20), F.lit(0), F.lit(-1)), F.lit(1), further)
     placed = ranked.join(slots, "length").withColumn("slot", F.element_at("slots", step))
     return placed.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("slot.first_sequence") + F.col("rank") - F.col("slot.first_rank")).alias("sequence_id"), F.col("slot.offset").alias("offset"))
