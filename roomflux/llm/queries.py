@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from roomflux.llm import ogg, packing, quality, simhash, toxicity
+from roomflux.llm import fingerprints, mixing, ogg, packing, pii, quality, secrets, simhash, toxicity, url_lists
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,15 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"), words=3, radius=2)
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.find(_table(spark, sf_dir, "documents")))
+
+
+def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages")
+    return url_lists.evaluate(url_lists.page_captures(pages), url_lists.page_lists(pages))
+
+
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -35,11 +44,35 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_table(spark, sf_dir, "documents"))
+
+
+def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.find(_table(spark, sf_dir, "documents")))
+
+
 def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ogg.media_columns(_table(spark, sf_dir, "documents"))
 
 
+def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprints(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_simhash_near_dedup, op4_quality_classifier, op5_toxicity, op6_best_fit_packing, op9_media_columns)
+    f.__name__: f
+    for f in (
+        op1_simhash_near_dedup,
+        op2_pii,
+        op3_url_filters,
+        op4_quality_classifier,
+        op5_toxicity,
+        op6_best_fit_packing,
+        op7_source_mixing,
+        op8_secret_scans,
+        op9_media_columns,
+        op10_document_fingerprints,
+    )
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op3_url_filters": url_lists.PAGE_SQL}
