@@ -140,16 +140,18 @@ def mixed(docs: DataFrame) -> DataFrame:
     Within a shard rows are in hash order. A row of which only a rest is taken has that many words of its text, from the start,
     and its n_chars counted anew. Documents without words stand once.
     """
-    own = materialize(sized(docs).withColumn("__rid", F.monotonically_increasing_id()), "rows")
-    sizes = own.select("__rid", F.col("source").cast("string").alias("source"), F.col("__size").alias("size"), F.col("__u").alias("u"))
-    decided = materialize(decide(sizes).where((F.col("taken") > 0) | (F.col("size") == 0)).select("__rid", "size", "passes", "rest", "shards"), "decided")
+    own = sized(docs).select(F.struct(*docs.columns).alias("__doc"), "text", F.col("source").cast("string").alias("source"), F.col("__size").alias("size"), F.col("__u").alias("u"))
+    own = materialize(own.withColumn("__rid", F.monotonically_increasing_id()), "rows")
+    sizes = own.select("__rid", "source", "size", "u")
+    decided = materialize(decide(sizes).where((F.col("taken") > 0) | (F.col("size") == 0)).select("__rid", "passes", "rest", "shards"), "decided")
     whole = F.when(F.col("size") == 0, F.lit(1)).otherwise(F.col("passes") + F.when(F.col("rest") == F.col("size"), 1).otherwise(0)).cast("int")
     copies = F.concat(F.array_repeat(F.lit(-1).cast("long"), whole), F.when((F.col("rest") > 0) & (F.col("rest") < F.col("size")), F.array("rest")).otherwise(F.array().cast("array<bigint>")))
     rows = own.join(decided, "__rid").select("*", F.posexplode(copies).alias("__pass", "__words"))
     words = F.array_remove(F.split(F.col("text"), SPACE), "")
-    rows = rows.withColumn("text", F.when(F.col("__words") < 0, F.col("text")).otherwise(F.array_join(F.slice(words, F.lit(1), F.greatest(F.lit(1), F.col("__words").cast("int"))), " ")))
+    new = {"text": F.when(F.col("__words") < 0, F.col("text")).otherwise(F.array_join(F.slice(words, F.lit(1), F.greatest(F.lit(1), F.col("__words").cast("int"))), " "))}
     if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(F.col("__words") < 0, F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
+        new["n_chars"] = F.when(F.col("__words") < 0, F.col("__doc.n_chars")).otherwise(F.length(new["text"])).cast(docs.schema["n_chars"].dataType)
     shard = F.coalesce(F.get("shards", F.col("__pass")), F.lit(0))
-    rows = rows.withColumn("__shard", shard).withColumn("__place", F.xxhash64(F.lit(SEED + 9), "__u", "__pass"))
-    return rows.repartitionByRange("__shard", "__place").sortWithinPartitions("__shard", "__place").select(*docs.columns)
+    rows = rows.withColumn("__shard", shard).withColumn("__place", F.xxhash64(F.lit(SEED + 9), "u", "__pass"))
+    rows = rows.repartitionByRange("__shard", "__place").sortWithinPartitions("__shard", "__place")
+    return rows.select(*((new[c] if c in new else F.col(f"__doc.`{c}`")).alias(c) for c in docs.columns))

@@ -170,7 +170,7 @@ def redact(docs: DataFrame) -> DataFrame:
     span covers the rest of its own length. A null text stays null.
     """
     spans = materialize(find(docs).select(*KEY, F.array_sort("spans", lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(b["end"] - a["end"])).alias("spans")).where(F.size("spans") > 0).dropDuplicates(KEY), "spans")
-    rows = docs.select("*", *text_key(F.coalesce(F.col("text").cast("string"), F.lit("")))).join(spans, KEY, "left")
+    rows = docs.select(F.struct(*docs.columns).alias("__doc"), "text", *text_key(F.coalesce(F.col("text").cast("string"), F.lit("")))).join(spans, KEY, "left")
     none = F.array().cast("array<string>")
     done = F.aggregate(
         "spans",
@@ -182,7 +182,7 @@ def redact(docs: DataFrame) -> DataFrame:
     )
     rows = rows.withColumn("__done", done)
     clean = F.when(F.col("spans").isNull(), F.col("text")).otherwise(F.concat(F.array_join("__done.parts", ""), F.substring(F.col("text"), F.col("__done.at") + 1, F.length("text"))))
-    rows = rows.withColumn("text", clean)
+    new = {"text": clean}
     if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return rows.select(*docs.columns)
+        new["n_chars"] = F.when(F.col("spans").isNull(), F.col("__doc.n_chars")).otherwise(F.length(clean)).cast(docs.schema["n_chars"].dataType)
+    return rows.select(*((new[c] if c in new else F.col(f"__doc.`{c}`")).alias(c) for c in docs.columns))
