@@ -10,6 +10,6 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 def spark():
     from roomflux.session import local_session
 
-    session = local_session(8, "tests", "6g")
+    session = local_session(os.environ.get("TEST_CPUS", "8"), "tests", "6g")
     session.sparkContext.setLogLevel("ERROR")
     return session
