@@ -183,7 +183,6 @@ def nearest_vectors(rows: DataFrame, queries: DataFrame, k: int, block: int = 40
     keeps its k best per query by matrix product, and the partitions' bests are ranked per query.
     """
     asked = [r["id"] for r in queries.select("id").orderBy("id").collect()] if queries.limit(block + 1).count() <= block else None
-    spark = rows.sparkSession
 
     def search(part: DataFrame) -> DataFrame:
         own = part.collect()
@@ -207,7 +206,7 @@ def nearest_vectors(rows: DataFrame, queries: DataFrame, k: int, block: int = 40
     if asked is not None:
         parts = search(queries)
     else:
-        cuts = queries.agg(F.percentile_approx("id", F.array(*(F.lit(x) for x in np.linspace(0, 1, 2 + queries.count() * 2 // block))), 100_000)).collect()[0][0]
+        cuts = queries.agg(F.percentile_approx("id", F.array(*(F.lit(float(x)) for x in np.linspace(0, 1, 2 + queries.count() * 2 // block))), 100_000)).collect()[0][0]
         edges = sorted(set(cuts))
         parts = None
         for lo, hi in zip([None, *edges], [*edges, None], strict=True):
@@ -215,6 +214,5 @@ def nearest_vectors(rows: DataFrame, queries: DataFrame, k: int, block: int = 40
             cond = cond if hi is None else cond & (F.col("id") <= hi)
             one = search(queries.where(cond))
             parts = one if parts is None else parts.unionByName(one)
-    del spark
     w = Window.partitionBy("qid").orderBy("d2", "id")
     return parts.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
