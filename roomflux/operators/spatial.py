@@ -187,7 +187,7 @@ def nearest_vectors(rows: DataFrame, queries: DataFrame, k: int, block: int = 40
     def search(part: DataFrame) -> DataFrame:
         own = part.collect()
         ids = np.array([r["id"] for r in own], np.int64)
-        q = np.array([r["v"] for r in own], np.float64).reshape(len(own), -1)
+        q = np.array([r["v"] for r in own], np.float64)
 
         def best(batches):
             for pdf in batches:
