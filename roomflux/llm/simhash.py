@@ -156,10 +156,10 @@ def plan_tables(bits: int, radius: int) -> list[tuple[list[int], list[int], int]
     return [(list(range(a, b)), [x for x in range(bits) if not a <= x < b], radius) for a, b in zip(cut, cut[1:], strict=False)]
 
 
-def plan_sketch(bits: int, run: int, near: int) -> list[tuple[list[int], list[int], int]]:
+def plan_sketch(tables: int, run: int, near: int) -> list[tuple[list[int], list[int], int]]:
     """Runs for a join by disjoint runs of bits: a pair is met if one run has at most ``near`` errors; each run is joined exactly, by near + 1 parts."""
     out = []
-    for at in range(0, bits - run + 1, run):
+    for at in range(0, tables * run, run):
         own = list(range(at, at + run))
         cut = [round(k * run / (near + 1)) for k in range(near + 2)]
         out += [(own[a:b], own[:a] + own[b:], near) for a, b in zip(cut, cut[1:], strict=False)]
@@ -206,12 +206,13 @@ def linked_classes(prints: DataFrame, tables: list, far: int, n_words: int = 1,
     def join(pdf: pd.DataFrame) -> pd.DataFrame:
         keys = pdf["key"].to_numpy(np.int64).view(np.uint64)
         order = np.argsort(keys, kind="stable")
-        keys, hexes = keys[order], pdf["fingerprint"].to_numpy()[order]
+        keys = keys[order]
         bits = np.stack([pdf[f"w{k}"].to_numpy(np.int64).view(np.uint64)[order] for k in range(n_words)], 1)
         split = int(np.searchsorted(keys >> np.uint64(56), (keys[0] >> np.uint64(56)) + np.uint64(1))) if pdf["flip"].iloc[0] > 0 else None
         parent = trie_links(keys, bits, near, far, split) if split is None or split < len(keys) else np.arange(len(keys))
         told = np.flatnonzero(parent != np.arange(len(keys)))
-        return pd.DataFrame({"a": hexes[told], "b": hexes[parent[told]]})
+        a, b = (["".join(f"{x:016x}" for x in row) for row in bits[at].tolist()] for at in (told, parent[told]))
+        return pd.DataFrame({"a": a, "b": b}, dtype=object)
 
     def runs(pdf_iter: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Rows come sorted by subtree; a subtree is bounded by ``hot``, so at most one is held besides the batch read."""
@@ -237,7 +238,7 @@ def linked_classes(prints: DataFrame, tables: list, far: int, n_words: int = 1,
             yield join(pd.concat(held))
 
     by = ["t", "run", "node", "flip"]
-    edges = rows.drop("hot").repartition(*by).sortWithinPartitions(*by).mapInPandas(runs, "a string, b string")
+    edges = rows.drop("hot", "fingerprint").repartition(*by).sortWithinPartitions(*by).mapInPandas(runs, "a string, b string")
     return connected_components(edges).withColumnRenamed("node", "fingerprint")
 
 
@@ -262,17 +263,18 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFra
     return classes(fingerprints(docs, words), plan_tables(64, radius), radius)
 
 
-def near_duplicate_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, n_words: int = 4, run: int = 28, near: int = 2) -> DataFrame:
-    """Groups by 256-bit fingerprints over five-word shingles: doc_id, fingerprint, component_id.
+def near_duplicate_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, n_words: int = 8, tables: int = 9, run: int = 28, near: int = 2) -> DataFrame:
+    """Groups by 512-bit fingerprints over five-word shingles: doc_id, fingerprint, component_id.
 
     The radius is the number of differing bits that ``similarity`` (Jaccard) means for sign bits: with cosine 2j/(1+j), the
-    share acos(cosine)/pi. Pairs are met in 9 disjoint runs of 28 bits, where one run may have 2 errors; a pair at the
-    threshold is met with probability about 0.84, one at 0.9 with 0.99, and equal texts always. Texts without words make
-    no shingles; they group with each other.
+    share acos(cosine)/pi, and one standard deviation more, so that most pairs at the threshold are within it. Pairs are met
+    in 9 disjoint runs of 28 bits, where one run may have 2 errors; a pair at the threshold is met with probability about
+    0.84, one at 0.9 with 0.99, and equal texts always. Texts without words make no shingles; they group with each other.
     """
     cosine = 2 * similarity / (1 + similarity)
-    far = int(64 * n_words * np.arccos(cosine) / np.pi)
-    return classes(fingerprints(docs, words, n_words), plan_sketch(64 * n_words, run, near), far, n_words)
+    share, bits = float(np.arccos(cosine) / np.pi), 64 * n_words
+    far = int(bits * share + np.sqrt(bits * share * (1 - share)))
+    return classes(fingerprints(docs, words, n_words), plan_sketch(tables, run, near), far, n_words)
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
