@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from roomflux.plans.blocks import with_numbers
+
 
 def project_by_header(df: DataFrame, wanted: list[str]) -> DataFrame:
     """The wanted columns as strings, by the first header of that name; ValueError names what is missing."""
@@ -39,10 +41,10 @@ def mode_per_group(df: DataFrame, group: str, value: str, order: str) -> DataFra
     return counts.groupBy(group).agg(F.max_by(F.struct(value, "n"), F.struct(F.col("n"), -F.col("first"))).alias("r")).select(group, f"r.{value}", "r.n")
 
 
-def dictionary_encode(df: DataFrame, value: str, order: str) -> DataFrame:
-    """value, code: dense ids in the order of first sight. One row per distinct value."""
+def dictionary_encode(df: DataFrame, value: str, order: str, width: int = 1_000_000) -> DataFrame:
+    """value, code: dense ids from 0 in the order of first sight (a numeric column), numbered by ranges of ``width``."""
     first = df.groupBy(value).agg(F.min(order).alias("__first"))
-    return first.select(value, (F.row_number().over(Window.orderBy("__first", value)) - 1).alias("code"))
+    return with_numbers(first, "__first", width, [value], "__n").select(value, (F.col("__n") - 1).alias("code"))
 
 
 def two_way_except(observed: DataFrame, known: DataFrame, key: str) -> DataFrame:

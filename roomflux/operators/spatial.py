@@ -182,7 +182,7 @@ def nearest_vectors(rows: DataFrame, queries: DataFrame, k: int, block: int = 40
     Queries are taken in blocks of at most ``block``: a block is collected (its size is bounded by ``block``), each partition
     keeps its k best per query by matrix product, and the partitions' bests are ranked per query.
     """
-    asked = [r["id"] for r in queries.select("id").orderBy("id").collect()] if queries.limit(block + 1).count() <= block else None
+    few = queries.limit(block + 1).count() <= block
 
     def search(part: DataFrame) -> DataFrame:
         own = part.collect()
@@ -203,7 +203,7 @@ def nearest_vectors(rows: DataFrame, queries: DataFrame, k: int, block: int = 40
 
         return rows.select("id", "v").mapInPandas(best, "qid long, id long, d2 double")
 
-    if asked is not None:
+    if few:
         parts = search(queries)
     else:
         cuts = queries.agg(F.percentile_approx("id", F.array(*(F.lit(float(x)) for x in np.linspace(0, 1, 2 + queries.count() * 2 // block))), 100_000)).collect()[0][0]

@@ -11,7 +11,8 @@ from roomflux.tables import table
 
 
 def events(spark, sf_dir):
-    return table(spark, sf_dir, "events")
+    """Events with the day as block: a user's rows of one day are a bounded group."""
+    return table(spark, sf_dir, "events").withColumn("block", F.to_date("ts"))
 
 
 @register("SELECT * FROM (SELECT conv_id, turn, role, lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS next_value FROM conversations) WHERE next_value IS NOT NULL")
@@ -23,12 +24,12 @@ def consecutive_pairs(spark, sf_dir):
 r AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS run FROM m)
 SELECT user_id, CAST(run AS BIGINT) AS run, min(event_type) AS value, count(*) AS steps, CAST(min(place) AS INT) AS first_place, CAST(max(place) AS INT) AS last_place FROM r GROUP BY user_id, run""")
 def merge_runs(spark, sf_dir):
-    return Q.runs(events(spark, sf_dir), ["user_id"], ["event_id"], "event_type")
+    return Q.runs(events(spark, sf_dir), ["user_id"], ["event_id"], "event_type", "block")
 
 
 @register("SELECT user_id, count(*) FILTER (event_type <> was) AS changes FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS was FROM events) GROUP BY 1")
 def transition_count(spark, sf_dir):
-    return Q.transitions(events(spark, sf_dir), "user_id", ["event_id"], "event_type")
+    return Q.transitions(events(spark, sf_dir), "user_id", ["event_id"], "event_type", "block")
 
 
 @register("""WITH s AS (SELECT user_id, event_id, value > 50 AS on_, row_number() OVER w AS step FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
@@ -41,12 +42,12 @@ def flicker(spark, sf_dir):
 
 @register("""SELECT event_id, last_value(CASE WHEN event_type = 'click' THEN ts END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS last_mark FROM events""")
 def since_last(spark, sf_dir):
-    return Q.since_last(events(spark, sf_dir), "user_id", "ts", "event_id", F.col("event_type") == "click").select("event_id", "last_mark")
+    return Q.since_last(events(spark, sf_dir), "user_id", "ts", "event_id", F.col("event_type") == "click", "block").select("event_id", "last_mark")
 
 
 @register("""SELECT user_id, max(g) AS gap_us FROM (SELECT user_id, epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) AS g FROM events) GROUP BY 1""")
 def max_gap(spark, sf_dir):
-    return Q.gaps(events(spark, sf_dir), "user_id", "ts", "event_id").groupBy("user_id").agg(F.max("gap_us").alias("gap_us"))
+    return Q.gaps(events(spark, sf_dir), "user_id", "ts", "event_id", "block").groupBy("user_id").agg(F.max("gap_us").alias("gap_us"))
 
 
 @register("""WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER w > INTERVAL 6 HOURS OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
@@ -58,7 +59,7 @@ def idle_sessions(spark, sf_dir):
 
 @register("""SELECT event_id, coalesce(last_value(CASE WHEN value >= 60 THEN 1 WHEN value <= 10 THEN 0 END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING), 0) AS state FROM events""")
 def hysteresis(spark, sf_dir):
-    return Q.hysteresis(events(spark, sf_dir), "user_id", ["event_id"], "value", 10.0, 60.0).select("event_id", "state")
+    return Q.hysteresis(events(spark, sf_dir), "user_id", ["event_id"], "value", 10.0, 60.0, "block").select("event_id", "state")
 
 
 DECIDED = "CASE WHEN value > 80 THEN 'rotate' WHEN event_type = 'purchase' THEN 'tilt' WHEN event_type = 'signup' THEN 'zoom' END"
@@ -72,7 +73,7 @@ def first_decisive(spark, sf_dir):
 
 @register("""SELECT event_id FROM (SELECT event_id, epoch_us(lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) - epoch_us(ts) AS wait FROM events) WHERE wait IS NULL OR wait >= 3600000000""")
 def debounce(spark, sf_dir):
-    return Q.debounce(events(spark, sf_dir).select("event_id", "user_id", "ts"), "user_id", "ts", "event_id", 3_600_000_000).select("event_id")
+    return Q.debounce(events(spark, sf_dir), "user_id", "ts", "event_id", 3_600_000_000, "block").select("event_id")
 
 
 @register("""SELECT date_trunc('hour', ts) AS frame, arg_max(value, event_id) FILTER (user_id % 2 = 0) AS first_pointer, arg_max(value, event_id) FILTER (user_id % 2 = 1) AS second_pointer FROM events GROUP BY 1""")
@@ -82,7 +83,7 @@ def frame_pairing(spark, sf_dir):
 
 @register("SELECT event_id, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS back FROM events")
 def history_back(spark, sf_dir):
-    return Q.history_back(events(spark, sf_dir), "user_id", ["event_id"], "event_type").select("event_id", "back")
+    return Q.history_back(events(spark, sf_dir), "user_id", ["event_id"], "event_type", "block").select("event_id", "back")
 
 
 @register("""SELECT event_type, count(*) AS n, round(median(value), 6) AS median, quantile_disc(value, 0.5) AS lower_median FROM events GROUP BY 1""")

@@ -13,6 +13,7 @@ from roomflux.operators import lookup as L
 from roomflux.operators import schedule as S
 from roomflux.operators import sequence as Q
 from roomflux.operators import spatial as P
+from roomflux.plans.blocks import with_last_known, with_numbers, with_previous, with_running_sum
 
 
 @pytest.fixture(scope="module")
@@ -97,7 +98,33 @@ def test_line_pack(spark):
 def test_hysteresis_ignores_jitter(spark):
     values = [0.0, 7.6, 5.5, 7.4, 5.1, 4.9, 6.0, 7.5]
     df = spark.createDataFrame([(1, k, v) for k, v in enumerate(values)], "g int, k int, v double")
-    assert [r["state"] for r in Q.hysteresis(df, "g", ["k"], "v", 5.0, 7.5).orderBy("k").collect()] == [0, 1, 1, 1, 1, 0, 0, 1]
+    for width in (1, 3, 100):
+        rows = Q.hysteresis(df.withColumn("b", F.floor(F.col("k") / width)), "g", ["k"], "v", 5.0, 7.5, "b").orderBy("k").collect()
+        assert [r["state"] for r in rows] == [0, 1, 1, 1, 1, 0, 0, 1]
+
+
+def test_blocks_do_not_show(spark):
+    rng = random.Random(8)
+    values = [rng.choice([None, 1, 2]) for _ in range(60)]
+    df = spark.createDataFrame([(k % 2, k, v) for k, v in enumerate(values)], "g int, k int, v int")
+    seen = []
+    for width in (1, 7, 1000):
+        rows = df.withColumn("b", F.floor(F.col("k") / width))
+        a = with_previous(rows, ["g"], ["k"], F.col("v"), "b", "x")
+        a = with_previous(a, ["g"], ["k"], F.col("v"), "b", "y", backward=True)
+        a = with_running_sum(a, ["g"], ["k"], F.lit(1), "b", "n")
+        a = with_last_known(a, ["g"], ["k"], F.col("v"), "b", "l")
+        seen.append([(r["x"], r["y"], r["n"], r["l"]) for r in a.orderBy("k").collect()])
+    assert seen[0] == seen[1] == seen[2]
+    own = [values[k] for k in range(0, 60, 2)]
+    for i, (x, y, n, last) in enumerate(seen[0][::2]):
+        assert x == (own[i - 1] if i else None) and y == (own[i + 1] if i + 1 < len(own) else None) and n == i + 1
+        assert last == next((v for v in reversed(own[: i + 1]) if v is not None), None)
+
+
+def test_numbers(spark):
+    df = spark.createDataFrame([(k,) for k in (5, 100, 7, 250, 101)], "k int")
+    assert [r["n"] for r in with_numbers(df, "k", 100, [], "n").orderBy("k").collect()] == [1, 2, 3, 4, 5]
 
 
 def test_sessions_merge_at_exactly_the_gap(spark):
