@@ -119,10 +119,11 @@ def find(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     for rule in full:
         scanned = verify(scanned, rule, F.lit(True))
     scanned = materialize(scanned.select("doc_id", *KEY, *(F.col(r.kind) for r in full)), "scanned")
-    checked = by_key.join(hits, KEY)
+    # One row per distinct text before the join: copies are dropped where they lie, so a hot text is not gathered in one task.
+    checked = by_key.select(*KEY, "__text").dropDuplicates(KEY).join(hits, KEY)
     for rule in indexed:
         checked = verify(checked, rule, F.array_contains("kinds", rule.kind))
-    checked = materialize(checked.select(*KEY, *(F.col(r.kind) for r in indexed)).dropDuplicates(KEY), "checked")
+    checked = materialize(checked.select(*KEY, *(F.col(r.kind) for r in indexed)), "checked")
     out = scanned.join(checked, KEY, "left")
     order = {r.kind: k for k, r in enumerate(rules)}
 

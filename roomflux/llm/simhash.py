@@ -63,15 +63,20 @@ def fingerprint(hashes: np.ndarray, n_words: int = 1) -> np.ndarray:
     return out
 
 
+def _text_hash():
+    return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+
+
 def fingerprints(docs: DataFrame, words: int = 3, n_words: int = 1) -> DataFrame:
-    """``doc_id`` and ``fingerprint`` (lowercase hex, 16 digits a word) of each row's whole ``text``; other columns are left out."""
+    """``doc_id``, ``text_hash`` and ``fingerprint`` (lowercase hex, 16 digits a word) of each row's whole ``text``; other columns are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             made = ["".join(f"{x:016x}" for x in fingerprint(shingle_hashes(t.as_py(), words), n_words).tolist()) for t in b.column("text")]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array(made, pa.string())], names=["doc_id", "fingerprint"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_hash"), pa.array(made, pa.string())], names=["doc_id", "text_hash", "fingerprint"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fingerprint string")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return rows.select("doc_id", _text_hash().alias("text_hash"), "text").mapInArrow(run, "doc_id long, text_hash long, fingerprint string")
 
 
 def _roots(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
@@ -260,11 +265,11 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFra
     doc_id keeps its row and is never a component_id unless the whole class is null; repeated rows come out as often as they
     came in; an empty table gives an empty one; columns besides doc_id and text are ignored.
     """
-    return classes(fingerprints(docs, words), plan_tables(64, radius), radius)
+    return classes(fingerprints(docs, words).drop("text_hash"), plan_tables(64, radius), radius)
 
 
 def near_duplicate_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, n_words: int = 8, tables: int = 9, run: int = 28, near: int = 2) -> DataFrame:
-    """Groups by 512-bit fingerprints over five-word shingles: doc_id, fingerprint, component_id.
+    """Groups by 512-bit fingerprints over five-word shingles: row (doc_id and hash of the text), fingerprint, component_id (the least row).
 
     The radius is the number of differing bits that ``similarity`` (Jaccard) means for sign bits: with cosine 2j/(1+j), the
     share acos(cosine)/pi, and one standard deviation more, so that most pairs at the threshold are within it. Pairs are met
@@ -274,12 +279,14 @@ def near_duplicate_groups(docs: DataFrame, words: int = 5, similarity: float = 0
     cosine = 2 * similarity / (1 + similarity)
     share, bits = float(np.arccos(cosine) / np.pi), 64 * n_words
     far = int(bits * share + np.sqrt(bits * share * (1 - share)))
-    return classes(fingerprints(docs, words, n_words), plan_sketch(tables, run, near), far, n_words)
+    prints = fingerprints(docs, words, n_words).select(F.struct("doc_id", "text_hash").alias("doc_id"), "fingerprint")
+    return classes(prints, plan_sketch(tables, run, near), far, n_words).withColumnRenamed("doc_id", "row")
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """Rows of ``docs`` without near copies: of each group the row with the smallest doc_id stays, one row if that repeats. Rows without a doc_id stay."""
+    """Rows of ``docs`` without near copies: of each group the row with the smallest doc_id stays (by the hash of its text if texts share the id), one row if that repeats. Rows without a doc_id stay."""
     groups = near_duplicate_groups(docs.where("doc_id is not null"), **options)
-    stay = materialize(groups.select("component_id").distinct().select(F.col("component_id").alias("__stay")), "stay")
-    kept = docs.join(stay, F.col("doc_id") == F.col("__stay")).drop("__stay")
-    return kept.dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
+    stay = materialize(groups.select("component_id.*").distinct().toDF("__id", "__hash"), "stay")
+    rows = docs.withColumn("__text", _text_hash())
+    kept = rows.join(stay, (F.col("doc_id") == F.col("__id")) & (F.col("__text") == F.col("__hash")))
+    return kept.dropDuplicates(["doc_id", "__text"]).drop("__id", "__hash", "__text").unionByName(docs.where("doc_id is null"))

@@ -121,6 +121,7 @@ def test_keep_one(spark, odd):
     assert sorted(r["doc_id"] for r in simhash.keep_one(df).collect()) == [3, 7]
     kept = simhash.keep_one(odd)
     assert kept.columns == odd.columns and kept.where("doc_id is null").count() == 2
+    assert sorted(r["text"] for r in kept.where("doc_id = 4").collect()) == ["one", "one two"]
 
 
 BASE = {
