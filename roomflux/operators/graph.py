@@ -65,9 +65,28 @@ def unreachable(nodes: DataFrame, edges: DataFrame, source: int) -> DataFrame:
     return nodes.select("node").join(shortest_paths(edges, source), "node", "left_anti")
 
 
-def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def components(nodes: DataFrame, edges: DataFrame, small: int = SMALL) -> DataFrame:
     """node, label (least node of its component), isolated nodes included."""
-    linked = connected_components(edges.select("a", "b"))
+    own = materialize(edges.select("a", "b").distinct(), "edges")
+    if own.limit(small + 1).count() <= small:
+
+        def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+            up = {n: n for n in pd.unique(pdf[["a", "b"]].to_numpy().ravel())}
+
+            def root(n):
+                while up[n] != n:
+                    up[n] = up[up[n]]
+                    n = up[n]
+                return n
+
+            for a, b in zip(pdf["a"], pdf["b"], strict=True):
+                x, y = root(a), root(b)
+                up[max(x, y)] = min(x, y)
+            return pd.DataFrame({"node": list(up), "label": [root(n) for n in up]})
+
+        linked = own.withColumn("__all", F.lit(0)).groupBy("__all").applyInPandas(solve, "node long, label long")
+    else:
+        linked = connected_components(own)
     return nodes.select("node").join(linked, "node", "left").select("node", F.coalesce("label", "node").alias("label"))
 
 

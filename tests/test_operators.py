@@ -170,18 +170,19 @@ def test_bfs_parents(spark, net, small):
     assert got == want
 
 
-def test_components(net):
+@pytest.mark.parametrize("small", [0, 1000])
+def test_components(net, small):
     rows, edges, nodes = net
     label = {n: n for n in range(60)}
     for _ in range(60):
         for a, b, _ in rows:
             label[a] = label[b] = min(label[a], label[b])
-    assert {r["node"]: r["label"] for r in G.components(nodes, edges).collect()} == label
+    assert {r["node"]: r["label"] for r in G.components(nodes, edges, small).collect()} == label
 
 
 def test_components_of_a_long_chain(spark):
     edges = spark.range(300).selectExpr("id a", "id + 1 b")
-    assert {r["label"] for r in G.components(spark.range(301).withColumnRenamed("id", "node"), edges).collect()} == {0}
+    assert {r["label"] for r in G.components(spark.range(301).withColumnRenamed("id", "node"), edges, 0).collect()} == {0}
 
 
 def test_overlaps_and_suppression(spark):
