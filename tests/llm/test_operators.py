@@ -249,15 +249,24 @@ def test_classifiers_odd(spark, odd, empty, operator):
     assert quality.keep_good(odd, labels.limit(0)).count() == len(ODD)
 
 
+def fewest(lengths, capacity=1024):
+    """A lower bound on sequences: pieces over half need one each, and what they leave must hold the middling ones."""
+    best = -(-sum(lengths) // capacity)
+    for k in range(1, capacity // 2 + 1):
+        big = sum(n > capacity - k for n in lengths)
+        half = [n for n in lengths if capacity // 2 < n <= capacity - k]
+        rest = sum(n for n in lengths if k <= n <= capacity // 2)
+        best = max(best, big + len(half) + max(0, -(-(rest - (len(half) * capacity - sum(half))) // capacity)))
+    return best
+
+
 def check_pack(rows, docs):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(tokenizer_path())
     want = Counter()
-    total = 0
     for d, text in docs:
         ids = [*t.encode(text or "", add_special_tokens=False).ids, 2]
-        total += len(ids)
         at, k = 0, 0
         while at < len(ids):
             n = (len(ids) - at - 1) % 1024 + 1 if k == 0 else 1024
@@ -273,7 +282,7 @@ def check_pack(rows, docs):
             assert offset == at
             at += length
         assert at <= 1024
-    assert len(sequences) <= -(-total // 1024) * 1.02 + 2
+    assert len(sequences) <= fewest([r["length"] for r in rows]) * 1.01 + 1
 
 
 def test_packing(odd, small, empty):
