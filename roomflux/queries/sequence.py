@@ -139,13 +139,13 @@ def coalesce_gaps(spark, sf_dir):
 
 @register("""SELECT event_type, CAST(ts AS DATE) AS d, grouping(event_type) * 2 + grouping(CAST(ts AS DATE)) AS g, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ROLLUP (event_type, CAST(ts AS DATE))""")
 def extension_rollup(spark, sf_dir):
-    """Extension beyond the reference: subtotals."""
+    """Extension: subtotals."""
     return events(spark, sf_dir).withColumn("d", F.to_date("ts")).rollup("event_type", "d").agg((F.grouping("event_type") * 2 + F.grouping("d")).cast("long").alias("g"), F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
 
 
 @register("SELECT date_trunc('day', ts) AS day, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def extension_stream_windows(spark, sf_dir):
-    """Extension beyond the reference: event-time windows of a stream over the events, with a watermark."""
+    """Extension: event-time windows of a stream over the events, with a watermark."""
     from roomflux.streaming import windows
 
     return windows.run_daily(spark, f"{sf_dir}/events.parquet")
@@ -155,7 +155,7 @@ def extension_stream_windows(spark, sf_dir):
 s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS n FROM g)
 SELECT user_id, min(ts) AS first_ts, count(*) AS n FROM s GROUP BY user_id, s.n""")
 def extension_stream_sessions(spark, sf_dir):
-    """Extension beyond the reference: the idle sessions as a stream."""
+    """Extension: the idle sessions as a stream."""
     from roomflux.streaming import windows
 
     return windows.run_sessions(spark, f"{sf_dir}/events.parquet")
