@@ -12,23 +12,23 @@ def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     """Smallest reachable node of each node that has an edge.
 
     ``edges``: columns ``a`` and ``b`` of one orderable type, any direction, repeats and loops allowed; rows with a null are
-    left out. Returns ``node``, ``label``. Each round takes the least label among neighbours (an aggregate with map-side
-    combine, so a hub is never gathered in one task) and then follows labels twice, so that long chains halve.
+    left out. Returns ``node``, ``label``. Each round is a large-star and a small-star: neighbours above a node are hooked on
+    the least of its neighbourhood, then those below it, so rounds grow with the square of the logarithm at most. The loop ends
+    when the links are stars, whose centres are then the least nodes; if ``max_rounds`` do not reach that, it raises. The
+    aggregates combine on the map side, so a hub is never gathered in one task.
     """
     pairs = edges.where("a is not null and b is not null and a <> b")
-    both = materialize(pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
-    labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("label")), "labels")
+    links = materialize(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     for _ in range(max_rounds):
-        near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        low = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        low = materialize(low, "low")
-        at = low.select(F.col("node").alias("label"), F.col("label").alias("next"))
-        new = materialize(low.join(at, "label", "left").select("node", "old", F.coalesce("next", "label").alias("label")), "labels")
-        changed = new.where("old <> label").limit(1).count()
-        release(low)
-        release(labels)
-        labels = new
-        if not changed:
-            break
-    release(both)
-    return labels.select("node", "label")
+        ends = links.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(links.select(F.col("b").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+        if not ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or (up = 1 and down = 1)").limit(1).count():
+            return links.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(links.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())
+        both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.min("b").alias("least")).select("a", F.least("a", "least").alias("least"))
+        large = materialize(both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("least").alias("b")).distinct(), "large")
+        release(links)
+        least = large.groupBy("a").agg(F.min("b").alias("least"))
+        below = large.join(least, "a").where("b <> least").select(F.col("b").alias("a"), F.col("least").alias("b"))
+        links = materialize(below.unionByName(least.select("a", F.col("least").alias("b"))).distinct(), "links")
+        release(large)
+    raise RuntimeError(f"components not found in {max_rounds} rounds")

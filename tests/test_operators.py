@@ -14,6 +14,7 @@ from roomflux.operators import schedule as S
 from roomflux.operators import sequence as Q
 from roomflux.operators import spatial as P
 from roomflux.plans.blocks import with_last_known, with_numbers, with_previous, with_running_sum
+from roomflux.plans.components import connected_components
 
 
 @pytest.fixture(scope="module")
@@ -236,3 +237,18 @@ def test_greedy_merge(spark):
     cells = spark.createDataFrame([(1, k, a) for k, a in enumerate([1.0, 2.0, 5.0, 1.0])], "grp int, cell long, area double")
     edges = spark.createDataFrame([(1, a, b) for a, b in [(0, 1), (1, 0), (1, 2), (2, 1), (1, 3), (3, 1)]], "grp int, a long, b long")
     assert [r["cell"] for r in G.greedy_merge(cells, edges, 4.0).orderBy("step").collect()] == [0, 1, 3]
+
+
+def test_components_of_a_path_of_random_ids(spark):
+    """Labels that only creep along such a path need hundreds of rounds."""
+    ids = list(range(1000))
+    random.Random(0).shuffle(ids)
+    links = [(f"{a:04}", f"{b:04}") for a, b in zip(ids, ids[1:])] + [("x", "x"), ("y", "z"), ("z", "y"), (None, "0001")]
+    got = {r["node"]: r["label"] for r in connected_components(spark.createDataFrame(links, "a string, b string"), 20).collect()}
+    assert got == {f"{a:04}": "0000" for a in ids} | {"y": "y", "z": "y"}
+
+
+def test_components_raise_at_the_bound(spark):
+    edges = spark.createDataFrame([(a, a + 1) for a in range(50)], "a int, b int")
+    with pytest.raises(RuntimeError):
+        connected_components(edges, 1)
