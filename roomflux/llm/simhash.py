@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from roomflux.plans.components import connected_components
-from roomflux.plans.lineage import materialize
+from roomflux.plans.lineage import materialize, release
 
 SEED = 42
 #: Odd multipliers of a 64-bit finaliser; a further fingerprint word is the mix of a shingle's hash with one of these.
@@ -161,16 +161,6 @@ def plan_tables(bits: int, radius: int) -> list[tuple[list[int], list[int], int]
     return [(list(range(a, b)), [x for x in range(bits) if not a <= x < b], radius) for a, b in zip(cut, cut[1:], strict=False)]
 
 
-def plan_sketch(tables: int, run: int, near: int) -> list[tuple[list[int], list[int], int]]:
-    """Runs for a join by disjoint runs of bits: a pair is met if one run has at most ``near`` errors; each run is joined exactly, by near + 1 parts."""
-    out = []
-    for at in range(0, tables * run, run):
-        own = list(range(at, at + run))
-        cut = [round(k * run / (near + 1)) for k in range(near + 2)]
-        out += [(own[a:b], own[:a] + own[b:], near) for a, b in zip(cut, cut[1:], strict=False)]
-    return out
-
-
 def _picked(words: list, bits: list[int]):
     """The named bits as one long, the first the most significant of 64; bit 0 is the top bit of the first word."""
     out = F.lit(0).cast("long")
@@ -268,19 +258,128 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFra
     return classes(fingerprints(docs, words).drop("text_hash"), plan_tables(64, radius), radius)
 
 
-def near_duplicate_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, n_words: int = 8, tables: int = 9, run: int = 28, near: int = 2) -> DataFrame:
-    """Groups by 512-bit fingerprints over five-word shingles: row (doc_id and hash of the text), fingerprint, component_id (the least row).
+#: Bits of the parity sketch of a shingle set, in longs; a shingle toggles one bit.
+PARITY = 16
+#: Texts that the common shingles are counted in, and how many of them must hold a shingle.
+COUNTED = 4_000
+COMMON = 4
+
+
+def parity(shingles: np.ndarray) -> np.ndarray:
+    """``PARITY`` longs in which each shingle toggles a bit. Two sets' sketches differ in at most as many bits as the sets in members."""
+    odd = np.bincount((_mixed(shingles, 1) % np.uint64(64 * PARITY)).astype(np.int64), minlength=64 * PARITY) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def common_shingles(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles (sorted) that many of a bounded sample of the distinct texts hold, and in how many. Only the order of shingles depends on it."""
+    every = max(1, docs.count() // COUNTED)
+    texts = docs.select(F.col("text").cast("string").alias("text"), _text_hash().alias("h")).where(F.pmod("h", F.lit(every)) == 0).dropDuplicates(["h"]).select("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            held = [np.unique(shingle_hashes(t.as_py(), words)) for t in b.column("text")]
+            shingles, n = np.unique(np.concatenate([np.empty(0, np.uint64), *held]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(shingles.view(np.int64)), pa.array(n)], names=["shingle", "n"])
+
+    found = texts.mapInArrow(run, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON).toPandas()
+    shingles, n = found["shingle"].to_numpy(np.int64).view(np.uint64), found["n"].to_numpy(np.int64)
+    order = np.argsort(shingles)
+    return shingles[order], n[order]
+
 
-    The radius is the number of differing bits that ``similarity`` (Jaccard) means for sign bits: with cosine 2j/(1+j), the
-    share acos(cosine)/pi, and one standard deviation more, so that most pairs at the threshold are within it. Pairs are met
-    in 9 disjoint runs of 28 bits, where one run may have 2 errors; a pair at the threshold is met with probability about
-    0.84, one at 0.9 with 0.99, and equal texts always. Texts without words make no shingles; they group with each other.
+def shingle_sets(docs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Of each row of ``docs``: row (doc_id and hash of the text), set (a hash of its shingle set), shingles (distinct, the rare first), n, prefix and sketch.
+
+    Sets of Jaccard ``similarity`` share a shingle among the first ``prefix`` of each, whatever the order, if it is the same for all.
     """
-    cosine = 2 * similarity / (1 + similarity)
-    share, bits = float(np.arccos(cosine) / np.pi), 64 * n_words
-    far = int(bits * share + np.sqrt(bits * share * (1 - share)))
-    prints = fingerprints(docs, words, n_words).select(F.struct("doc_id", "text_hash").alias("doc_id"), "fingerprint")
-    return classes(prints, plan_sketch(tables, run, near), far, n_words).withColumnRenamed("doc_id", "row")
+    common, held_by = common_shingles(docs, words)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (whole.slice(at, 256) for whole in batches for at in range(0, whole.num_rows, 256)):
+            sets, keys, prefix, sketches = [], [], [], []
+            for t in b.column("text"):
+                own = np.unique(shingle_hashes(t.as_py(), words))
+                keys.append(xxhash.xxh64_intdigest(own.tobytes(), SEED) - (1 << 63))
+                if len(common) and len(own):
+                    at = np.minimum(np.searchsorted(common, own), len(common) - 1)
+                    own = own[np.argsort(np.where(common[at] == own, held_by[at], 0), kind="stable")]
+                sets.append(own.view(np.int64))
+                prefix.append(len(own) - int(np.ceil(similarity * len(own) - 1e-9)) + 1 if len(own) else 0)
+                sketches.append(parity(own))
+            listed = [pa.array(x, pa.list_(pa.int64())) for x in (sets, sketches)]
+            columns = [b.column("doc_id"), b.column("text_hash"), pa.array(keys, pa.int64()), listed[0], pa.array(map(len, sets), pa.int32()), pa.array(prefix, pa.int32()), listed[1]]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_hash", "set", "shingles", "n", "prefix", "sketch"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _text_hash().alias("text_hash"), F.col("text").cast("string").alias("text"))
+    made = rows.mapInArrow(run, "doc_id long, text_hash long, set long, shingles array<long>, n int, prefix int, sketch array<long>")
+    return made.select(F.struct("doc_id", "text_hash").alias("row"), "set", "shingles", "n", "prefix", *(F.get("sketch", k).alias(f"s{k}") for k in range(PARITY)))
+
+
+def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Those of ``pairs`` (a, b: sets) whose Jaccard similarity is ``similarity`` or more."""
+    named = pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))).distinct()
+    held = materialize(sets.join(named, F.col("set") == F.col("a"), "left_semi").select("set", "shingles").dropDuplicates(["set"]), "held")
+    both = pairs.join(held.toDF("a", "__a"), "a").join(held.toDF("b", "__b"), "b")
+    shared = F.size(F.array_intersect("__a", "__b"))
+    found = materialize(both.where(shared >= similarity * (F.size("__a") + F.size("__b") - shared) - 1e-9).select("a", "b"), "alike")
+    release(held)
+    return found
+
+
+def alike_classes(sets: DataFrame, similarity: float) -> DataFrame:
+    """``set``, ``label`` (least set that links reach) of the sets that have a link; ``sets`` may repeat.
+
+    Exact: every pair of sets of Jaccard ``similarity`` is linked or in one class already, and no other pair is. The pairs tested
+    are those that share a shingle of their prefixes. First each is tested against the least set of its shingle, which joins
+    large families by a number of tests in proportion to their size; what then still differs in class is tested pair by pair,
+    unless lengths or sketches show that too many members differ.
+    """
+    postings = sets.select("set", F.explode(F.slice("shingles", F.lit(1), F.col("prefix"))).alias("shingle"))
+    hubs = postings.groupBy("shingle").agg(F.min("set").alias("a"), F.max("set").alias("z")).where("a <> z").select("shingle", "a")
+    shared = materialize(postings.join(hubs, "shingle").distinct(), "shared")
+    narrow = sets.drop("row", "shingles", "prefix").dropDuplicates(["set"])
+    sketch = [f"s{k}" for k in range(PARITY)]
+    slack = (1 - similarity) / (1 + similarity)
+
+    def possible(x: str, y: str):
+        """Whether lengths and sketches leave room: similar sets differ in a share ``slack`` of their summed lengths at most."""
+        differ = sum((F.bit_count(F.col(f"{x}.{c}").bitwiseXOR(F.col(f"{y}.{c}"))) for c in sketch), F.lit(0))
+        room = slack * (F.col(f"{x}.n") + F.col(f"{y}.n")) + 1e-6
+        return (F.abs(F.col(f"{x}.n") - F.col(f"{y}.n")) <= room) & (differ <= room)
+
+    stars = shared.where("a <> set").select("a", F.col("set").alias("b")).distinct()
+    stars = stars.join(narrow.alias("x"), F.col("a") == F.col("x.set")).join(narrow.alias("y"), F.col("b") == F.col("y.set")).where(possible("x", "y")).select("a", "b")
+    linked = _alike(materialize(stars, "stars"), sets, similarity)
+    labels = connected_components(linked).toDF("set", "label")
+    left = shared.select("set", "shingle").join(labels, "set", "left").withColumn("label", F.coalesce("label", "set"))
+    left = materialize(left, "left")
+    open_ = left.groupBy("shingle").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("shingle")
+    left = materialize(left.join(open_, "shingle", "left_semi").join(narrow, "set"), "open")
+    x, y = left.alias("x"), left.alias("y")
+    rest = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.set") < F.col("y.set")) & (F.col("x.label") != F.col("y.label")) & possible("x", "y"))
+    rest = materialize(rest.select(F.col("x.set").alias("a"), F.col("y.set").alias("b")).distinct(), "rest")
+    more = _alike(rest, sets, similarity)
+    for table in (shared, left, rest):
+        release(table)
+    return connected_components(linked.unionByName(more)).toDF("set", "label")
+
+
+def near_duplicate_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """Groups by links of Jaccard ``similarity`` or more between sets of five-word shingles: row (doc_id and hash of the text), component_id (the least row).
+
+    Every such pair is in one group and no other link is taken. Texts of fewer words are one shingle; texts without words make
+    none and group with each other.
+    """
+    made = materialize(shingle_sets(docs, words, similarity), "sets")
+    of = materialize(made.select("row", "set"), "rows")
+    labels = materialize(alike_classes(made, similarity), "labels")
+    release(made)
+    least = of.groupBy("set").agg(F.min("row").alias("least"))
+    labelled = materialize(least.join(labels, "set", "left").select("set", "least", F.coalesce("label", "set").alias("label")), "labelled")
+    reach = labelled.groupBy("label").agg(F.min("least").alias("component_id"))
+    classes = materialize(labelled.join(reach, "label").select("set", "component_id"), "classes")
+    return of.join(classes, "set").select("row", "component_id")
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:

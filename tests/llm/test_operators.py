@@ -124,6 +124,43 @@ def test_keep_one(spark, odd):
     assert sorted(r["text"] for r in kept.where("doc_id = 4").collect()) == ["one", "one two"]
 
 
+def test_near_duplicate_groups_are_those_of_brute_jaccard(spark):
+    """Pairs just over and just under 0.8, families whose members are linked by others only, and a passage that all share."""
+    rng = np.random.default_rng(8)
+    rows = []
+    for f in range(30):
+        base = [f"f{f}w{i}" for i in range(180)] + [f"all{i}" for i in range(20)]
+        rows.append(" ".join(base))
+        for v in range(3):
+            n, at = (17, 18, 12)[v], int(rng.integers(5, 150))
+            rows.append(" ".join(base[:at] + [f"f{f}v{v}x{i}" for i in range(n)] + base[at + n :]))
+    drift = [f"d{i}" for i in range(200)]
+    for step in range(12):
+        drift = drift[:15 * step] + [f"s{step}x{i}" for i in range(15)] + drift[15 * step + 15 :]
+        rows.append(" ".join(drift))
+    rows += [rows[0].upper(), "one two", "", None]
+    sets = [frozenset(simhash.shingle_hashes(t, 5).tolist()) for t in rows]
+    group = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]) and group[a] != group[b]:
+                low, high = sorted((group[a], group[b]))
+                group = [low if x == high else x for x in group]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(3)
+    got = {r["row"]["doc_id"]: r["component_id"]["doc_id"] for r in simhash.near_duplicate_groups(df).collect()}
+    assert got == dict(enumerate(group))
+    assert sorted(r["doc_id"] for r in simhash.keep_one(df).collect()) == sorted(set(group))
+
+
+def test_shingles_in_many_texts_come_last(spark):
+    df = spark.createDataFrame([(i, f"p{i} q{i} r{i} s{i} t{i} the line that all of them share") for i in range(20)], "doc_id long, text string")
+    assert {tuple(r) for r in simhash.shingle_sets(df, 5, 0.8).select("n", "prefix").collect()} == {(8, 2)}
+    common = set(simhash.common_shingles(df, 5)[0].tolist())
+    for r in simhash.shingle_sets(df, 5, 0.8).collect():
+        own = [x % 2**64 in common for x in r["shingles"]]
+        assert own == sorted(own) and sum(own) == 3
+
+
 BASE = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
     "ip": r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)",
