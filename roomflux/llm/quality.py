@@ -9,6 +9,7 @@ bounded, documented number of labelled rows. The output is linear in the mean, s
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Callable, Iterator
 from operator import eq
 
 import numpy as np
@@ -24,18 +25,31 @@ LIMIT = 3000
 EPOCHS = 3
 BATCH = 128
 THRESHOLD = 0.3
-#: Words whose scores a worker keeps.
+#: Words whose scores a worker keeps; those of runs longer than KEPT are forgotten after their text.
 CACHE = 500_000
+KEPT = 64
+#: Bytes of distinct words whose n-grams are made at a time; a longer run without white space is taken in pieces that all count.
+PIECE = 1 << 20
 #: Stands for a word that repeats the word before it.
 AGAIN = "\x01again"
 
 
+def marked(word: str) -> bytes:
+    return f"<{word}>".encode("utf-8", "surrogatepass")
+
+
+def gram_rows(raw: np.ndarray) -> np.ndarray:
+    """Table row of each n-gram (three bytes)."""
+    raw = raw.astype(np.uint32)
+    codes = raw[:-2] | raw[1:-1] << np.uint32(8) | raw[2:] << np.uint32(16)
+    return (codes * np.uint32(2654435761)) >> np.uint32(32 - BITS)
+
+
 def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Table rows of each word (its own, then those of its n-grams of bytes) one after another, and how many each has."""
-    marked = [f"<{x[:64]}>".encode("utf-8", "surrogatepass") for x in words]  # a run without white space counts by its first 64 characters
-    raw = np.frombuffer(b"".join(marked), np.uint8).astype(np.uint32)
-    sizes = np.fromiter(map(len, marked), np.int64, len(marked))
-    codes = raw[:-2] | raw[1:-1] << np.uint32(8) | raw[2:] << np.uint32(16)
+    whole = list(map(marked, words))
+    raw = np.frombuffer(b"".join(whole), np.uint8)
+    sizes = np.fromiter(map(len, whole), np.int64, len(whole))
     ends = np.cumsum(sizes)
     inside = np.ones(len(raw), bool)
     inside[ends - 1] = inside[ends - 2] = False  # windows that would run into the next word
@@ -43,11 +57,25 @@ def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     grams = np.ones(len(rows), bool)
     first = np.cumsum(sizes - 1) - (sizes - 1)
     grams[first] = False
-    rows[grams] = ((codes * np.uint32(2654435761)) >> np.uint32(32 - BITS))[inside[: len(codes)]]
+    rows[grams] = gram_rows(raw)[inside[: len(raw) - 2]]
     rows[first] = np.fromiter(map(word_hash, words), np.int64, len(words)) % BUCKETS
     return rows, sizes - 1
 
 
+def batched(items: list, size: Callable[[object], int], most: int, count: int) -> Iterator[list]:
+    """``items`` in lists of at most ``count``, and of at most ``most`` in size unless one alone is larger."""
+    out, held = [], 0
+    for x in items:
+        n = size(x)
+        if out and (len(out) == count or held + n > most):
+            yield out
+            out, held = [], 0
+        out.append(x)
+        held += n
+    if out:
+        yield out
+
+
 def bag(text: str) -> Counter:
     words = text.split()
     counts = Counter(words)
@@ -69,8 +97,7 @@ def train(texts: list[str], y: np.ndarray, epochs: int = EPOCHS, seed: int = 0)
     seen_t, seen_w = np.full((BUCKETS, DIM), 1e-6), np.full((DIM, 2), 1e-6)
     order = rng.permutation(len(y))
     batches = []
-    for at in range(0, len(y), BATCH):
-        ids = order[at : at + BATCH]
+    for ids in map(np.array, batched(order.tolist(), lambda i: len(texts[i]), 8 * PIECE, BATCH)):
         bags = [bag(texts[i]) for i in ids]
         vocab = {word: k for k, word in enumerate(dict.fromkeys(word for x in bags for word in x))}
         flat, sizes = features(list(vocab))
@@ -111,9 +138,19 @@ class Scorer:
     def _learn(self, words: set) -> None:
         if len(self.cache) + len(words) > CACHE:
             self.cache.clear()
-        words = list(words)
-        rows, sizes = features(words)
-        self.cache.update(zip(words, (np.add.reduceat(self.odds[rows], np.cumsum(sizes) - sizes) / sizes).tolist(), strict=True))
+        for some in batched(list(words), len, PIECE, CACHE):
+            if len(some[0]) > PIECE:
+                self.cache[some[0]] = self._long(some[0])
+                continue
+            rows, sizes = features(some)
+            self.cache.update(zip(some, (np.add.reduceat(self.odds[rows], np.cumsum(sizes) - sizes) / sizes).tolist(), strict=True))
+
+    def _long(self, word: str) -> float:
+        raw = np.frombuffer(marked(word), np.uint8)
+        total = float(self.odds[word_hash(word) % BUCKETS])
+        for at in range(0, len(raw) - 2, PIECE):
+            total += float(self.odds[gram_rows(raw[at : at + PIECE + 2])].sum(dtype=np.float64))
+        return total / (len(raw) - 1)
 
     def one(self, text: str) -> float:
         words = text.split()
@@ -124,6 +161,9 @@ class Scorer:
                 missing = set(words)
             self._learn(missing)
             found = list(map(self.cache.__getitem__, words))
+            for x in missing:
+                if len(x) > KEPT:
+                    del self.cache[x]
         again = sum(map(eq, words, words[1:]))
         if again and AGAIN not in self.cache:
             self._learn({AGAIN})

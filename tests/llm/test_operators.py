@@ -286,6 +286,28 @@ def test_classifiers_odd(spark, odd, empty, operator):
     assert quality.keep_good(odd, labels.limit(0)).count() == len(ODD)
 
 
+def test_quality_counts_the_whole_of_a_long_run(monkeypatch):
+    rng = np.random.default_rng(4)
+    odds = rng.normal(0, 3, quality.BUCKETS + 1)
+    score = quality.Scorer(odds)
+    head = "".join(rng.choice(list("abcdefgh"), 64))
+    for run in (head + "x" * 5000, head + "漢字" * 3000, "z" * 65, "z"):
+        raw = f"<{run}>".encode()
+        rows = [zlib.crc32(run.encode()) % quality.BUCKETS] + [((raw[k] | raw[k + 1] << 8 | raw[k + 2] << 16) * 2654435761 % 2**32) >> 16 for k in range(len(raw) - 2)]
+        assert score.one(run) == pytest.approx(np.mean(odds[rows]) + odds[-1])
+        text = f"some words {run} {run} and more"
+        whole = score.one(text)
+        with monkeypatch.context() as m:
+            m.setattr(quality, "PIECE", 50)
+            assert quality.Scorer(odds).one(text) == pytest.approx(whole)
+    good = ["".join(rng.choice(list("abcd"), 400)) for _ in range(60)]
+    bad = ["".join(rng.choice(list("wxyz"), 400)) for _ in range(60)]
+    heads = ["".join(rng.choice(list("mnop"), 64)) for _ in range(160)]
+    texts = [h + t for h, t in zip(heads, good[:40] + bad[:40])]
+    learned = quality.Scorer(quality.train(texts, np.array([1] * 40 + [0] * 40)))
+    assert all(learned.one(heads[80 + k] + good[40 + k]) > learned.one(heads[100 + k] + bad[40 + k]) for k in range(20))
+
+
 def fewest(lengths, capacity=1024):
     """A lower bound on sequences: pieces over half need one each, and what they leave must hold the middling ones."""
     best = -(-sum(lengths) // capacity)
