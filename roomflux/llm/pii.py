@@ -52,7 +52,7 @@ def luhn(digits: Column) -> Column:
 
 def _valid(kind: str, value: Column) -> Column:
     if kind == "ip":
-        return value.rlike(r"^(?:0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])(?:\.|$)){4}$")
+        return value.rlike(r"^(?:0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])(?:\.|$)){4}$")
     if kind == "card":
         return F.length(_digits(value)).between(16, 19) & luhn(_digits(value))
     if kind == "phone":

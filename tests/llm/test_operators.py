@@ -220,6 +220,15 @@ def test_pii_bootstrap_adds_unseen(spark):
     assert all(got[100 + i] == "phone:25:37" for i in range(5)) and got[200] == "" and got[201] == ""
 
 
+def test_pii_ip_with_zero_parts(spark):
+    good = ["10.0.0.1", "192.168.0.1", "0.0.0.0", "10.00.1.1", "1.2.3.4", "010.1.2.3", "255.000.0255.00", "0" * 5000 + ".0.0." + "0" * 5000 + "9"]
+    bad = ["256.0.0.1", "0.0.0.0256", "10.0.0." + "0" * 5000 + "300"]
+    df = spark.createDataFrame(list(enumerate(good + bad)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_ip"], r["base_sha256"]) for r in pii.digest(pii.find(df)).collect()}
+    assert got == {i: (int(i < len(good)), sha(pii_base(t))) for i, t in enumerate(good + bad)}
+    assert all(r["text"] == "[IP]" for r in pii.redact(df).where(F.col("doc_id") < len(good)).collect())
+
+
 def test_pii_redact(odd, empty):
     got = {r["doc_id"]: r for r in pii.redact(odd).collect()}
     assert got[7]["text"].startswith("Mail [EMAIL], or [EMAIL]") and "[IP]" in got[7]["text"] and got[7]["n_chars"] == len(got[7]["text"])
