@@ -1,7 +1,7 @@
 """Personal data: base patterns, and identifiers that they miss, found by bootstrapped contextual extraction.
 
-Base matches are the seeds. Identifier-like tokens (those with a digit or an @) that no base match covers are instances to
-judge. The words around a token are its lexical patterns: the two words before it, and the words on either side. Patterns
+Base matches are the seeds. Identifier-like tokens (those with a digit or an @, less a label up to : or =) and runs of
+neighbouring digit groups that no base match covers are instances to judge. The words around a token are its lexical patterns: the two words before it, and the words on either side. Patterns
 and instances form a graph; Spark scores it in rounds: a pattern's score for a kind is the (smoothed) share of its instances
 known or believed to be of that kind, an instance's is that of its best pattern. Instances of high score whose shape suits
 the kind are added. The graph holds words and tokens, not texts, and is summed before each shuffle.
@@ -25,6 +25,10 @@ PATTERNS = {
 }
 #: A token with a digit or an @, less the marks around it.
 TOKEN = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
+#: Neighbouring digit groups that start a token, a label up to : or = before them allowed.
+JOINED = r"(?<!\S)(?:[^\s0-9@:=]*+[:=])*+[+(]?+[0-9][0-9().-]*+(?:\x20[(]?+[0-9][0-9().-]*+)++"
+#: A label glued to a token.
+LABEL = r"(?:[^0-9@]*[:=])?"
 ROUNDS = 2
 #: What a pattern must score, and how many seeds of the kind it must hold.
 CONFIDENT = 0.6
@@ -95,18 +99,30 @@ def _shape(kind: Column, value: Column) -> Column:
     return (
         F.when(kind == "email", value.rlike("^[^@]+@[^@]+$"))
         .when(kind == "ip", value.rlike(r"^[0-9]{1,3}(\.[0-9]{1,3}){3}$"))
-        .when(kind == "card", value.rlike("^[0-9-]+$") & n.between(13, 19))
-        .when(kind == "phone", value.rlike(r"^[+(]?[0-9][0-9().-]+$") & n.between(7, 15))
+        .when(kind == "card", value.rlike(r"^[0-9\x20-]+$") & n.between(13, 19))
+        .when(kind == "phone", value.rlike(r"^[+(]?[0-9][0-9().\x20-]+$") & n.between(7, 15))
     )
 
 
+def _trimmed(lead: str):
+    """A candidate without what ``lead`` matches at its start and without the marks at its end."""
+
+    def cut(t: Column) -> Column:
+        n = F.length(F.regexp_extract(t["value"], f"^({lead})", 1))
+        value = F.regexp_replace(F.substring(t["value"], n + 1, F.length(t["value"])), "[^A-Za-z0-9]+$", "")
+        return F.struct((t["start"] + n).alias("start"), value.alias("value"), t["left"].alias("left"), t["right"].alias("right"))
+
+    return cut
+
+
 def scan(docs: DataFrame) -> DataFrame:
     """One row per input row: its other columns, key, base spans by kind, and ``tokens`` that no base span covers."""
     rows = docs.withColumn("__text", F.coalesce(F.col("text").cast("string"), F.lit("")))
     rows = with_matches(with_base(rows), "__text", "__token", TOKEN, context=True)
+    rows = with_matches(rows, "__text", "__joined", JOINED, context=True)
     spans = F.concat(*(of_kind(k, F.col(k)) for k in KINDS))
-    trimmed = F.transform(F.col("__token"), lambda t: F.struct((t["start"] + F.length(F.regexp_extract(t["value"], r"^([^A-Za-z0-9@+]*)", 1))).alias("start"), F.regexp_replace(t["value"], r"^[^A-Za-z0-9@+]+|[^A-Za-z0-9]+$", "").alias("value"), t["left"].alias("left"), t["right"].alias("right")))
-    rows = rows.withColumn("__base", spans).withColumn("__token", trimmed)
+    apart = F.filter("__joined", lambda t: ~t["right"].rlike("^[^\\s,;:!?]"))
+    rows = rows.withColumn("__base", spans).withColumn("__token", F.concat(F.transform("__token", _trimmed(LABEL + "[^A-Za-z0-9@+]*")), F.transform(apart, _trimmed(LABEL))))
     free = F.filter("__token", lambda t: (F.length(t["value"]) >= 5) & ~F.exists("__base", lambda b: (b["start"] < t["start"] + F.length(t["value"])) & (t["start"] < b["end"])))
     rows = rows.withColumn("__free", free)
     seeds = F.concat(*(F.transform(F.col(k), _as_seed(k)) for k in KINDS))

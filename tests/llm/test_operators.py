@@ -220,6 +220,19 @@ def test_pii_bootstrap_adds_unseen(spark):
     assert all(got[100 + i] == "phone:25:37" for i in range(5)) and got[200] == "" and got[201] == ""
 
 
+def test_pii_bootstrap_adds_spaced_and_labelled(spark):
+    rows = [(i, f"please dial my number at +1 (212) 555-{1000 + i} thanks") for i in range(40)]
+    rows += [(100 + i, f"please bill my card under 4111 1111 1111 1111 thanks no{i}") for i in range(3)] + [(110 + i, f"please bill my card under {c} thanks") for i, c in enumerate(("4242 4242 4242 4242", "5555 5555 5555 4444", "4012 8888 8888 1881"))]
+    unseen = {200: ("at ", "06 12 34 56 78", "phone"), 201: ("at ", "(212) 555 1234", "phone"), 202: ("at tel:", "0612345678", "phone"), 203: ("at (tel=", "06 12 34 56 79", "phone"), 204: ("under ", "4111 1111 1111 1112", "card")}
+    text = {d: ("please dial my number " if k == "phone" else "please bill my card ") + before + value + " thanks" for d, (before, value, k) in unseen.items()}
+    rows += [*text.items(), (300, "clean words with rooms 12 34 56 78 90 inside"), (301, "1 " * 20_000 + "1x")]
+    got = {r["doc_id"]: r["spans"] for r in pii.digest(pii.find(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
+    for d, (before, value, kind) in unseen.items():
+        at = text[d].index(before + value) + len(before)
+        assert got[d] == f"{kind}:{at}:{at + len(value)}", text[d]
+    assert got[300] == "" and got[301] == ""
+
+
 def test_pii_ip_with_zero_parts(spark):
     good = ["10.0.0.1", "192.168.0.1", "0.0.0.0", "10.00.1.1", "1.2.3.4", "010.1.2.3", "255.000.0255.00", "0" * 5000 + ".0.0." + "0" * 5000 + "9"]
     bad = ["256.0.0.1", "0.0.0.0256", "10.0.0." + "0" * 5000 + "300"]
