@@ -2,7 +2,8 @@
 
 An event (list, kind, value, on, action) adds or removes an entry. Events of one entry, by date, are turned into intervals
 [valid_from, valid_to): a state holds until the next event. A capture is looked up by each key that an entry could have: its
-host, each parent domain of the host, and the host with each leading run of its path. That makes the as-of join an equi-join
+host, each parent domain of the host, and the host with each leading run of its path that is no deeper than the deepest
+entry. That makes the as-of join an equi-join
 on the key with the interval as residual.
 """
 
@@ -11,8 +12,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Path segments that an entry may name.
-DEPTH = 3
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)"
 PATH = r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)"
 
@@ -28,11 +27,16 @@ def intervals(events: DataFrame) -> DataFrame:
     return day.select("list", "kind", "value", "action", F.col("on").alias("valid_from"), F.lead("on").over(order).alias("valid_to"))
 
 
-def lookup_keys(host: Column, path: Column) -> Column:
-    """(kind, value) of the entries that would match a capture."""
+def deepest(events: DataFrame) -> DataFrame:
+    """One row: ``depth``, the most path segments that a prefix entry names."""
+    return events.where("kind = 'prefix'").agg(F.coalesce(F.max(F.size(F.split("value", "/"))) - 1, F.lit(0)).alias("depth"))
+
+
+def lookup_keys(host: Column, path: Column, depth: Column) -> Column:
+    """(kind, value) of the entries of at most ``depth`` path segments that would match a capture."""
     labels = F.split(host, r"\.")
     domains = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(labels) - 1)), lambda k: F.struct(F.lit("domain").alias("kind"), F.array_join(F.slice(labels, k, F.size(labels)), ".").alias("value")))
-    parts = F.slice(F.filter(F.split(path, "/"), lambda x: x != ""), 1, DEPTH)
+    parts = F.slice(F.filter(F.split(path, "/"), lambda x: x != ""), 1, depth)
     prefixes = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(parts))), lambda k: F.struct(F.lit("prefix").alias("kind"), F.concat(host, F.lit("/"), F.array_join(F.slice(parts, 1, k), "/")).alias("value")))
     return F.concat(F.array(F.struct(F.lit("host").alias("kind"), host.alias("value"))), domains, F.when(F.size(parts) > 0, prefixes).otherwise(F.array().cast("array<struct<kind:string,value:string>>")))
 
@@ -46,9 +50,13 @@ def evaluate(captures: DataFrame, events: DataFrame) -> DataFrame:
     """
     rows = captures.select("capture_id", "url", "fetched").groupBy("capture_id", "url", "fetched").agg(F.count(F.lit(1)).alias("times"))
     rows = rows.withColumn("host", F.coalesce(host_of(F.col("url")), F.lit(""))).withColumn("path", F.coalesce(F.regexp_extract("url", PATH, 1), F.lit("")))
-    keys = rows.where("host <> '' and fetched is not null").select("capture_id", "url", "fetched", F.inline(lookup_keys(F.col("host"), F.col("path"))))
+    dated = rows.where("host <> '' and fetched is not null").crossJoin(F.broadcast(deepest(events)))  # one row
+    keys = dated.select("capture_id", "url", "fetched", F.inline(lookup_keys(F.col("host"), F.col("path"), F.col("depth"))))
     active = intervals(events).where("action = 'add'")
-    hits = keys.join(active, (keys.kind == active.kind) & (keys.value == active.value) & (F.col("fetched") >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col("fetched") < F.col("valid_to")))).select("capture_id", "url", "fetched", "list", F.concat_ws(":", active.list, active.kind, active.value).alias("entry"))
+    current = F.col("k.fetched") >= F.col("e.valid_from")
+    current &= F.col("e.valid_to").isNull() | (F.col("k.fetched") < F.col("e.valid_to"))
+    hits = keys.alias("k").join(active.alias("e"), (F.col("k.kind") == F.col("e.kind")) & (F.col("k.value") == F.col("e.value")) & current)
+    hits = hits.select("k.capture_id", "k.url", "k.fetched", "e.list", F.concat_ws(":", "e.list", "e.kind", "e.value").alias("entry"))
     met = hits.groupBy("capture_id", "url", "fetched").agg(F.count_if(F.col("list") == "block").alias("n_block"), F.count_if(F.col("list") == "allow").alias("n_allow"), F.min("entry").alias("entry"))
     out = rows.alias("r").join(met.alias("m"), F.col("r.capture_id").eqNullSafe(F.col("m.capture_id")) & (F.col("r.url") == F.col("m.url")) & (F.col("r.fetched") == F.col("m.fetched")), "left")
     zero = F.lit(0).cast("long")

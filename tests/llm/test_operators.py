@@ -289,6 +289,16 @@ def test_url_lists(spark):
     assert url_lists.evaluate(cap.limit(0), ev).count() == 0 and url_lists.evaluate(cap, ev.limit(0)).where("blocked").count() == 0
 
 
+def test_url_prefixes_of_any_depth(spark):
+    events = [("block", "prefix", "h.org/" + "/".join("abcde"[:k]), "2024-01-01", "add") for k in (1, 3, 4, 5)] + [("block", "host", "g.org", "2024-01-01", "add")]
+    ev = spark.createDataFrame(events, "list string, kind string, value string, on string, action string").withColumn("on", F.to_date("on"))
+    rows = [(k, "http://h.org/" + "/".join("abcdefg"[:k]), "2024-02-01") for k in range(8)] + [(8, "http://g.org/a/b/c/d/e", "2024-02-01"), (9, "http://h.org/x" + "/y" * 5000, "2024-02-01")]
+    cap = spark.createDataFrame(rows, "capture_id long, url string, fetched string").withColumn("fetched", F.to_date("fetched"))
+    want = {0: 0, 1: 1, 2: 1, 3: 2, 4: 3, 5: 4, 6: 4, 7: 4, 8: 1, 9: 0}
+    assert {r["capture_id"]: r["n_block"] for r in url_lists.evaluate(cap, ev).collect()} == want
+    assert {r["capture_id"]: r["n_block"] for r in url_lists.evaluate(cap, ev.where("kind = 'host'")).collect()} == {k: int(k == 8) for k in want}
+
+
 @pytest.mark.parametrize("operator, label, least", [(quality.quality_scores, "quality", 0.97), (toxicity.toxicity_scores, "toxic", 0.93)])
 def test_classifiers(spark, operator, label, least):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
