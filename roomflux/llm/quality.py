@@ -2,7 +2,7 @@
 
 A word's vector is the mean of learned rows of one hashed table: one for the word and one for each n-gram of its
 characters' bytes (the word set between marks). A document's vector is the mean over its words, repeats included; a softmax layer gives the
-label. Training is minibatch stochastic gradient descent (with per-parameter step sizes) in numpy on the driver, over a
+label. Training is minibatch stochastic gradient descent (with per-parameter step sizes) in numpy in one task, over a
 bounded, documented number of labelled rows. The output is linear in the mean, so scoring needs one number per table row.
 """
 
@@ -15,7 +15,7 @@ from operator import eq
 import numpy as np
 from pyspark.sql import DataFrame
 
-from roomflux.llm.textmodel import scored, training_rows, word_hash
+from roomflux.llm.textmodel import fitted, scored, word_hash
 
 BITS = 16
 BUCKETS = 1 << BITS
@@ -181,7 +181,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, limit: int = LIMIT, thres
     repeat (of several labels the least counts); without labelled rows every score is 0.5; an empty table gives an empty one;
     of ``docs`` only doc_id and text, of ``labels`` only doc_id and quality are read.
     """
-    odds = train(*training_rows(docs, labels, "quality", limit)).astype(np.float32)
+    odds = fitted(docs, labels, "quality", limit, train).astype(np.float32)
     return scored(docs, lambda: Scorer(odds), threshold)
 
 
@@ -189,7 +189,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, limit: int = LIMIT, threshold:
     """The rows of ``docs``, all columns, whose score reaches ``threshold``; scored as they are read, without a join."""
     import pyarrow as pa
 
-    odds = train(*training_rows(docs, labels, "quality", limit)).astype(np.float32)
+    odds = fitted(docs, labels, "quality", limit, train).astype(np.float32)
 
     def run(batches):
         score = Scorer(odds)

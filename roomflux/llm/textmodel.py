@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -11,6 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 FOLDS = 5
+#: Characters of the labelled texts that training takes at most.
+CHARS = 64_000_000
 
 
 def held_out(doc_id):
@@ -18,18 +21,30 @@ def held_out(doc_id):
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % FOLDS == 0
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, label: str, limit: int) -> tuple[list[str], np.ndarray]:
-    """Texts and labels of at most ``limit`` labelled rows outside the held-out fold, in a fixed pseudo-random order.
+def fitted(docs: DataFrame, labels: DataFrame, label: str, limit: int, train: Callable[[list[str], np.ndarray], object], chars: int = CHARS):
+    """What ``train`` makes of at most ``limit`` labelled texts outside the held-out fold, taken in a fixed pseudo-random order.
 
-    The rows are those whose doc_id has the least hashes, so a rerun takes the same ones. At most ``limit`` ids are broadcast
-    and at most ``limit`` whole texts come to the driver.
+    The rows are those whose doc_id has the least hashes, so a rerun takes the same ones; repeated rows count once, and of
+    several labels of an id the least. Whole texts are taken until ``chars`` characters are reached. At most ``limit`` ids are
+    broadcast. The training runs in one task over this bounded sample, and the driver gets the trained model alone.
     """
     rows = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where(F.col("y").isin(0, 1) & F.col("doc_id").isNotNull())
     rows = rows.where(~held_out("doc_id")).groupBy("doc_id").agg(F.min("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    found = text.join(F.broadcast(rows), "doc_id").select("doc_id", "y", "text").collect()
-    seen = sorted({(r["doc_id"], r["y"], r["text"]) for r in found})[:limit]
-    return [t for _, _, t in seen], np.array([y for _, y, _ in seen], np.float64)
+    found = text.join(F.broadcast(rows), "doc_id").dropDuplicates(["doc_id", "text"]).orderBy("doc_id", "text").limit(limit).select("doc_id", "y", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts, y, held = [], [], 0
+        for b in batches:
+            for one, text in zip(b.column("y").to_pylist(), b.column("text"), strict=True):
+                text = text.as_py()
+                if held <= chars and (held := held + len(text)) <= chars:
+                    texts.append(text)
+                    y.append(one)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train(texts, np.array(y, np.float64)))], pa.binary())], names=["model"])
+
+    made = found.coalesce(1).mapInArrow(run, "model binary").collect()
+    return pickle.loads(made[0]["model"]) if made else train([], np.zeros(0))
 
 
 def word_hash(word: str) -> int:
