@@ -10,6 +10,7 @@ piece's number among those of its length in its file of the written table, plus
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -27,6 +28,8 @@ CAPACITY = 1024
 SPECIAL = "<|endoftext|>"
 #: The byte-level pattern of the public vocabulary (a fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+RUN = 100_000
+SPACES = re.compile(r"\s+")
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, nth long"
 PLAN = "length long, first_rank long, n long, first_sequence long, offset long"
 
@@ -34,8 +37,9 @@ PLAN = "length long, first_rank long, n long, first_sequence long, offset long"
 class TextEncoder:
     """Ids of whole texts, as little-endian 32-bit bytes, equal to those of the byte-level tokenizer file at ``path``.
 
-    The file's own merges are run by a faster encoder that is built from its vocabulary; a text that holds a special token's
-    string is left to the tokenizer itself, which knows it as one id.
+    The file's own merges are run by a faster encoder that is built from its vocabulary. The tokenizer itself takes texts that
+    hold a special token's string, which it knows as one id, and those with a run of ``RUN`` white-space characters, on which
+    the faster one's expression engine gives up.
     """
 
     def __init__(self, path: str, pattern: str = PATTERN):
@@ -51,7 +55,8 @@ class TextEncoder:
         self.fast = tiktoken.Encoding("merges", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
     def encode(self, text: str) -> bytes:
-        ids = self.tokenizer.encode(text, add_special_tokens=False).ids if SPECIAL in text else self.fast.encode_ordinary(text)
+        odd = SPECIAL in text or len(text) >= RUN and any(m.end() - m.start() >= RUN for m in SPACES.finditer(text))
+        ids = self.tokenizer.encode(text, add_special_tokens=False).ids if odd else self.fast.encode_ordinary(text)
         return np.asarray(ids, "<u4").tobytes()
 
 
@@ -118,7 +123,8 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame
     plan = spark.createDataFrame(pd.DataFrame(best_fit(counts, capacity), columns=["length", "first_rank", "n", "first_sequence", "offset"]), PLAN) if counts else spark.createDataFrame([], PLAN)
     # The plan's size depends on the capacity alone: ranges of each of at most `capacity` lengths, so it is broadcast.
     slots = F.broadcast(plan.groupBy("length").agg(F.sort_array(F.collect_list(F.struct("first_rank", "n", "first_sequence", "offset"))).alias("slots")))
-    ranked = cut.join(before.select("length", "part", F.coalesce("before", F.lit(0)).alias("before")), ["length", "part"]).withColumn("rank", F.col("nth") + F.col("before"))
+    # The counts grow with the files, so they are never broadcast.
+    ranked = cut.join(before.select("length", "part", F.coalesce("before", F.lit(0)).alias("before")).hint("merge"), ["length", "part"]).withColumn("rank", F.col("nth") + F.col("before"))
     # The last range that starts at or before the rank, by bisection of the sorted array.
     def further(at, k):
         ahead = at + F.call_function("shiftleft", F.lit(1), k)
