@@ -82,8 +82,8 @@ def deal(draws: DataFrame, depth: int = DEPTH) -> DataFrame:
     return ranked.join(slots, ["sid", "rank"]).select("sid", "pass", "d1", "shard")
 
 
-def decide(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, depth: int = DEPTH) -> DataFrame:
-    """``sizes`` (source, size, u and others) with source_size, target, passes, rest, taken and ``shards``.
+def decide(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, depth: int = DEPTH, keep: bool = True) -> DataFrame:
+    """``sizes`` (source, size, u and others) with source_size, target, passes, rest, taken and ``shards``. ``sizes`` is read several times.
 
     ``passes``: how often the whole document is taken; ``rest``: words taken from its start besides; ``shards``: where each
     pass puts it, in order of passes.
@@ -94,7 +94,8 @@ def decide(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOS
     plan = plan.withColumn("quota", F.col("words") - F.col("passes") * F.col("source_size"))
     digits = [F.shiftrightunsigned("u", 8 * k).bitwiseAND(F.lit(FAN - 1)).cast("int").alias(f"d{k + 1}") for k in range(LEVELS)]
     rows = sizes.select("*", *digits).join(plan.select("sid", F.col("source").alias("__source"), "source_size", "target", "passes"), F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
-    rows = materialize(rows, "sized")
+    if keep:
+        rows = materialize(rows, "sized")
     by, quota, levels = ["sid"], plan.select("sid", "quota"), []
     for k in range(LEVELS):
         cells = materialize(_cells(rows, by, quota, f"d{k + 1}"), "cells")
@@ -138,20 +139,23 @@ def mixed(docs: DataFrame) -> DataFrame:
     """The rows of the mix itself, columns as in ``docs``: a row once per pass, and the words of its rest, laid out by shard.
 
     Within a shard rows are in hash order. A row of which only a rest is taken has that many words of its text, from the start,
-    and its n_chars counted anew. Documents without words stand once.
+    and its n_chars counted anew. Documents without words stand once. Null sources are one source; a null text stays null; an
+    empty table gives an empty one; other columns may have any names. Texts lie beside the decisions throughout, which come
+    from tables of a few rows per source; they are shuffled once, into the shards.
     """
-    own = sized(docs).select(F.struct(*docs.columns).alias("__doc"), "text", F.col("source").cast("string").alias("source"), F.col("__size").alias("size"), F.col("__u").alias("u"))
-    own = materialize(own.withColumn("__rid", F.monotonically_increasing_id()), "rows")
-    sizes = own.select("__rid", "source", "size", "u")
-    decided = materialize(decide(sizes).where((F.col("taken") > 0) | (F.col("size") == 0)).select("__rid", "passes", "rest", "shards"), "decided")
+    own = sized(docs.select(F.struct(*docs.columns).alias("__doc"), "doc_id", "text", F.col("source").cast("string").alias("source")))
+    own = materialize(own.select("__doc", "source", F.col("__size").alias("size"), F.col("__u").alias("u")), "rows")
+    rows = decide(own, keep=False).where((F.col("taken") > 0) | (F.col("size") == 0))
     whole = F.when(F.col("size") == 0, F.lit(1)).otherwise(F.col("passes") + F.when(F.col("rest") == F.col("size"), 1).otherwise(0)).cast("int")
     copies = F.concat(F.array_repeat(F.lit(-1).cast("long"), whole), F.when((F.col("rest") > 0) & (F.col("rest") < F.col("size")), F.array("rest")).otherwise(F.array().cast("array<bigint>")))
-    rows = own.join(decided, "__rid").select("*", F.posexplode(copies).alias("__pass", "__words"))
-    words = F.array_remove(F.split(F.col("text"), SPACE), "")
-    new = {"text": F.when(F.col("__words") < 0, F.col("text")).otherwise(F.array_join(F.slice(words, F.lit(1), F.greatest(F.lit(1), F.col("__words").cast("int"))), " "))}
+    rows = rows.select("*", F.posexplode(copies).alias("__pass", "__words"))
+    text = F.col("__doc.text")
+    words = F.array_remove(F.split(text, SPACE), "")
+    new = {"text": F.when(F.col("__words") < 0, text).otherwise(F.array_join(F.slice(words, F.lit(1), F.greatest(F.lit(1), F.col("__words").cast("int"))), " "))}
     if "n_chars" in docs.columns:
         new["n_chars"] = F.when(F.col("__words") < 0, F.col("__doc.n_chars")).otherwise(F.length(new["text"])).cast(docs.schema["n_chars"].dataType)
     shard = F.coalesce(F.get("shards", F.col("__pass")), F.lit(0))
-    rows = rows.withColumn("__shard", shard).withColumn("__place", F.xxhash64(F.lit(SEED + 9), "u", "__pass"))
+    made = [(new[c] if c in new else F.col(f"__doc.`{c}`")).alias(c) for c in docs.columns]
+    rows = rows.select(F.struct(*made).alias("__doc"), shard.alias("__shard"), F.xxhash64(F.lit(SEED + 9), "u", "__pass").alias("__place"))
     rows = rows.repartitionByRange("__shard", "__place").sortWithinPartitions("__shard", "__place")
-    return rows.select(*((new[c] if c in new else F.col(f"__doc.`{c}`")).alias(c) for c in docs.columns))
+    return rows.select("__doc.*")

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from roomflux.llm.spans import KEY, listed, of_kind, text_key, with_matches
+from roomflux.llm.spans import KEY, likely, listed, of_kind, text_key, with_matches
 from roomflux.plans.lineage import materialize
 
 KINDS = ("email", "ip", "card", "phone")
@@ -30,6 +30,8 @@ JOINED = r"(?<!\S)(?:[^\s0-9@:=]*+[:=])*+[+(]?+[0-9][0-9().-]*+(?:\x20[(]?+[0-9]
 #: A label glued to a token.
 LABEL = r"(?:[^0-9@]*[:=])?"
 ROUNDS = 2
+#: Characters of a context that are looked at first; words that reach beyond them are taken whole in a second look.
+NEAR = 200
 #: What a pattern must score, and how many seeds of the kind it must hold.
 CONFIDENT = 0.6
 SEEDS = 3
@@ -85,11 +87,21 @@ def with_base(docs: DataFrame, text: str = "__text") -> DataFrame:
     return out
 
 
+def _near(left: Column) -> Column:
+    """The end of a left context, which holds its last two words whole."""
+    end = F.right(left, F.lit(NEAR))
+    whole = end.rlike(r"(?:\s\S+[^\S\n]+\S+[^\S\n]+|\n[^\S\n]*\S+[^\S\n]+|\n[^\S\n]*|\S)$")
+    far = F.reverse(F.regexp_extract(F.reverse(left), r"^([^\S\n]++\S++(?:[^\S\n]++\S++)?)", 1))
+    return F.when((F.length(left) <= NEAR) | whole, end).otherwise(far)
+
+
 def _words(left: Column, right: Column) -> Column:
     """The patterns that a context gives."""
-    before = F.lower(F.regexp_extract(F.right(left, F.lit(200)), r"(\S+)[^\S\n]+$", 1))
-    two = F.lower(F.regexp_extract(F.right(left, F.lit(200)), r"(\S+[^\S\n]+\S+)[^\S\n]+$", 1))
-    after = F.lower(F.regexp_extract(F.left(right, F.lit(200)), r"^[^\S\n]+(\S+)", 1))
+    left, start = _near(left), F.left(right, F.lit(NEAR))
+    right = F.when((F.length(right) <= NEAR) | start.rlike(r"^(?:[^\S\n]++\S++\s|\S|[^\S\n]*+\n)"), start).otherwise(right)
+    before = F.lower(F.regexp_extract(left, r"(\S+)[^\S\n]+$", 1))
+    two = F.lower(F.regexp_extract(left, r"(\S+[^\S\n]+\S+)[^\S\n]+$", 1))
+    after = F.lower(F.regexp_extract(right, r"^[^\S\n]++(\S++)", 1))
     return F.array_compact(F.array(F.when(two != "", F.concat(two, F.lit(" _"))), F.when((before != "") & (after != ""), F.concat(before, F.lit(" _ "), after))))
 
 
@@ -115,9 +127,9 @@ def _trimmed(lead: str):
     return cut
 
 
-def scan(docs: DataFrame) -> DataFrame:
-    """One row per input row: its other columns, key, base spans by kind, and ``tokens`` that no base span covers."""
-    rows = docs.withColumn("__text", F.coalesce(F.col("text").cast("string"), F.lit("")))
+def scan(docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
+    """One row per input row: the columns ``keep``, key, base spans, and instances: the seeds and the tokens that no base span covers."""
+    rows = docs.withColumn("__text", F.coalesce(F.col(text).cast("string"), F.lit("")))
     rows = with_matches(with_base(rows), "__text", "__token", TOKEN, context=True)
     rows = with_matches(rows, "__text", "__joined", JOINED, context=True)
     spans = F.concat(*(of_kind(k, F.col(k)) for k in KINDS))
@@ -127,7 +139,7 @@ def scan(docs: DataFrame) -> DataFrame:
     rows = rows.withColumn("__free", free)
     seeds = F.concat(*(F.transform(F.col(k), _as_seed(k)) for k in KINDS))
     unseen = F.transform("__free", lambda t: F.struct(F.lit(None).cast("string").alias("kind"), t["start"].alias("start"), t["value"].alias("value"), _words(t["left"], t["right"]).alias("patterns")))
-    return rows.select(*docs.columns, *text_key(F.col("__text")), F.col("__base").alias("base"), F.concat(seeds, unseen).alias("instances"))
+    return rows.select(*keep, *text_key(F.col("__text")), F.col("__base").alias("base"), F.concat(seeds, unseen).alias("instances"))
 
 
 def bootstrap(scanned: DataFrame) -> DataFrame:
@@ -160,17 +172,25 @@ def added_spans(scanned: DataFrame) -> DataFrame:
     return materialize(spans.groupBy(*KEY).agg(F.collect_set("s").alias("added")), "added")
 
 
+def with_spans(docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
+    """The columns ``keep`` of ``docs``, key, ``base`` and ``spans``. Only rows whose text may have added spans meet them in a join; nothing else is shuffled."""
+    scanned = materialize(scan(docs, text, keep), "scanned")
+    added = added_spans(scanned)
+    rows = likely(scanned.drop("instances"), "k1", added.select("k1"))
+    none = F.array().cast("array<struct<kind:string,start:int,end:int>>")
+    alone = rows.where("not likely").withColumn("added", none)
+    met = rows.where("likely").join(added, KEY, "left").withColumn("added", F.coalesce("added", none))
+    spans = F.concat(*(F.array_sort(F.concat(F.filter("base", _is(k)), F.filter("added", _is(k)))) for k in KINDS))
+    return alone.unionByName(met).withColumn("spans", spans).select(*keep, *KEY, "base", "spans")
+
+
 def find(docs: DataFrame) -> DataFrame:
-    """The columns of ``docs`` but its text, with ``base`` and ``spans``: arrays of (kind, start, end) by kind, then start.
+    """doc_id, key, ``base`` and ``spans``: arrays of (kind, start, end) by kind, then start.
 
     A null text is an empty one; rows of equal text have equal spans; repeated rows and null ids are kept; an empty table
-    gives an empty one; names of other columns may be any but those added here.
+    gives an empty one; columns besides doc_id and text are ignored.
     """
-    scanned = materialize(scan(docs.select("doc_id", "text")).drop("text"), "scanned")
-    rows = scanned.drop("instances").join(added_spans(scanned), KEY, "left")
-    more = F.coalesce("added", F.array().cast("array<struct<kind:string,start:int,end:int>>"))
-    spans = F.concat(*(F.array_sort(F.concat(F.filter("base", _is(k)), F.filter(more, _is(k)))) for k in KINDS))
-    return rows.select("doc_id", *KEY, "base", spans.alias("spans"))
+    return with_spans(docs.select("doc_id", "text"), "text", ["doc_id"])
 
 
 def digest(found: DataFrame) -> DataFrame:
@@ -185,8 +205,9 @@ def redact(docs: DataFrame) -> DataFrame:
     Of overlapping spans the one that starts first stands (of equal starts the longer); what it covers goes whole, and a later
     span covers the rest of its own length. A null text stays null.
     """
-    spans = materialize(find(docs).select(*KEY, F.array_sort("spans", lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(b["end"] - a["end"])).alias("spans")).where(F.size("spans") > 0).dropDuplicates(KEY), "spans")
-    rows = docs.select(F.struct(*docs.columns).alias("__doc"), "text", *text_key(F.coalesce(F.col("text").cast("string"), F.lit("")))).join(spans, KEY, "left")
+    rows = with_spans(docs.select(F.struct(*docs.columns).alias("__own")), "__own.text", ["__own"])
+    order = F.array_sort("spans", lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(b["end"] - a["end"]))
+    rows = rows.select(F.col("__own").alias("__doc"), F.col("__own.text").alias("text"), order.alias("spans"))
     none = F.array().cast("array<string>")
     done = F.aggregate(
         "spans",
@@ -197,8 +218,8 @@ def redact(docs: DataFrame) -> DataFrame:
         ),
     )
     rows = rows.withColumn("__done", done)
-    clean = F.when(F.col("spans").isNull(), F.col("text")).otherwise(F.concat(F.array_join("__done.parts", ""), F.substring(F.col("text"), F.col("__done.at") + 1, F.length("text"))))
+    clean = F.when(F.size("spans") == 0, F.col("text")).otherwise(F.concat(F.array_join("__done.parts", ""), F.substring(F.col("text"), F.col("__done.at") + 1, F.length("text"))))
     new = {"text": clean}
     if "n_chars" in docs.columns:
-        new["n_chars"] = F.when(F.col("spans").isNull(), F.col("__doc.n_chars")).otherwise(F.length(clean)).cast(docs.schema["n_chars"].dataType)
+        new["n_chars"] = F.when(F.size("spans") == 0, F.col("__doc.n_chars")).otherwise(F.length(clean)).cast(docs.schema["n_chars"].dataType)
     return rows.select(*((new[c] if c in new else F.col(f"__doc.`{c}`")).alias(c) for c in docs.columns))

@@ -22,6 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from roomflux.llm.spans import likely
 from roomflux.plans.components import connected_components
 from roomflux.plans.lineage import materialize, release
 
@@ -288,18 +289,19 @@ def common_shingles(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray
     return shingles[order], n[order]
 
 
-def shingle_sets(docs: DataFrame, words: int, similarity: float) -> DataFrame:
-    """Of each row of ``docs``: row (doc_id and hash of the text), set (a hash of its shingle set), shingles (distinct, the rare first), n, prefix and sketch.
+def shingle_sets(docs: DataFrame, words: int, similarity: float, common: tuple[np.ndarray, np.ndarray] | None = None) -> DataFrame:
+    """Of each row of ``docs``: row (doc_id and hash of the text), set (a hash of its shingle set), shingles (distinct, the rare first), n, prefix, fingerprint and sketch.
 
     Sets of Jaccard ``similarity`` share a shingle among the first ``prefix`` of each, whatever the order, if it is the same for all.
     """
-    common, held_by = common_shingles(docs, words)
+    common, held_by = common or common_shingles(docs, words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (whole.slice(at, 256) for whole in batches for at in range(0, whole.num_rows, 256)):
-            sets, keys, prefix, sketches = [], [], [], []
+            sets, keys, prefix, prints, sketches = [], [], [], [], []
             for t in b.column("text"):
                 own = np.unique(shingle_hashes(t.as_py(), words))
+                prints.append(f"{int(fingerprint(own)[0]):016x}")
                 keys.append(xxhash.xxh64_intdigest(own.tobytes(), SEED) - (1 << 63))
                 if len(common) and len(own):
                     at = np.minimum(np.searchsorted(common, own), len(common) - 1)
@@ -308,18 +310,18 @@ def shingle_sets(docs: DataFrame, words: int, similarity: float) -> DataFrame:
                 prefix.append(len(own) - int(np.ceil(similarity * len(own) - 1e-9)) + 1 if len(own) else 0)
                 sketches.append(parity(own))
             listed = [pa.array(x, pa.list_(pa.int64())) for x in (sets, sketches)]
-            columns = [b.column("doc_id"), b.column("text_hash"), pa.array(keys, pa.int64()), listed[0], pa.array(map(len, sets), pa.int32()), pa.array(prefix, pa.int32()), listed[1]]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_hash", "set", "shingles", "n", "prefix", "sketch"])
+            columns = [b.column("doc_id"), b.column("text_hash"), pa.array(keys, pa.int64()), listed[0], pa.array(map(len, sets), pa.int32()), pa.array(prefix, pa.int32()), pa.array(prints, pa.string()), listed[1]]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_hash", "set", "shingles", "n", "prefix", "fingerprint", "sketch"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _text_hash().alias("text_hash"), F.col("text").cast("string").alias("text"))
-    made = rows.mapInArrow(run, "doc_id long, text_hash long, set long, shingles array<long>, n int, prefix int, sketch array<long>")
-    return made.select(F.struct("doc_id", "text_hash").alias("row"), "set", "shingles", "n", "prefix", *(F.get("sketch", k).alias(f"s{k}") for k in range(PARITY)))
+    made = rows.mapInArrow(run, "doc_id long, text_hash long, set long, shingles array<long>, n int, prefix int, fingerprint string, sketch array<long>")
+    return made.select(F.struct("doc_id", "text_hash").alias("row"), "set", "shingles", "n", "prefix", "fingerprint", *(F.get("sketch", k).alias(f"s{k}") for k in range(PARITY)))
 
 
-def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Those of ``pairs`` (a, b: sets) whose Jaccard similarity is ``similarity`` or more."""
-    named = pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))).distinct()
-    held = materialize(sets.join(named, F.col("set") == F.col("a"), "left_semi").select("set", "shingles").dropDuplicates(["set"]), "held")
+def _alike(pairs: DataFrame, whole, similarity: float) -> DataFrame:
+    """Those of ``pairs`` (a, b: sets) whose Jaccard similarity is ``similarity`` or more; ``whole`` gives the shingles of named sets."""
+    named = pairs.select(F.col("a").alias("set")).unionByName(pairs.select(F.col("b").alias("set"))).distinct()
+    held = materialize(whole(named), "held")
     both = pairs.join(held.toDF("a", "__a"), "a").join(held.toDF("b", "__b"), "b")
     shared = F.size(F.array_intersect("__a", "__b"))
     found = materialize(both.where(shared >= similarity * (F.size("__a") + F.size("__b") - shared) - 1e-9).select("a", "b"), "alike")
@@ -327,18 +329,27 @@ def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return found
 
 
-def alike_classes(sets: DataFrame, similarity: float) -> DataFrame:
-    """``set``, ``label`` (least set that links reach) of the sets that have a link; ``sets`` may repeat.
+def print_pairs(sets: DataFrame, radius: int) -> DataFrame:
+    """Candidates (a, b) by the trie self-join of fingerprints: each set with the least of its class."""
+    named = sets.select("set", "fingerprint").distinct()
+    labels = linked_classes(named.select("fingerprint"), plan_tables(64, radius), radius)
+    labelled = materialize(named.join(labels, "fingerprint", "left").select("set", F.coalesce("label", "fingerprint").alias("label")), "named")
+    least = labelled.groupBy("label").agg(F.min("set").alias("a"), F.max("set").alias("z")).where("a <> z")
+    return labelled.join(least, "label").where("a <> set").select("a", F.col("set").alias("b"))
 
-    Exact: every pair of sets of Jaccard ``similarity`` is linked or in one class already, and no other pair is. The pairs tested
-    are those that share a shingle of their prefixes. First each is tested against the least set of its shingle, which joins
-    large families by a number of tests in proportion to their size; what then still differs in class is tested pair by pair,
-    unless lengths or sketches show that too many members differ.
+
+def alike_classes(sets: DataFrame, whole, similarity: float, radius: int = 3) -> DataFrame:
+    """``set``, ``label`` (least set that links reach) of the sets that have a link; ``sets`` may repeat and holds the prefixes as ``shingles``.
+
+    Exact: every pair of sets of Jaccard ``similarity`` is linked or in one class already, and no other pair is. The trie
+    self-join of fingerprints and the least set of each prefix shingle propose the first candidates; they join large families
+    by a number of tests in proportion to their size. Of the pairs that share a prefix shingle, those that then still differ
+    in class are tested pair by pair, unless lengths or sketches show that too many members differ.
     """
-    postings = sets.select("set", F.explode(F.slice("shingles", F.lit(1), F.col("prefix"))).alias("shingle"))
+    postings = sets.select("set", F.explode("shingles").alias("shingle"))
     hubs = postings.groupBy("shingle").agg(F.min("set").alias("a"), F.max("set").alias("z")).where("a <> z").select("shingle", "a")
     shared = materialize(postings.join(hubs, "shingle").distinct(), "shared")
-    narrow = sets.drop("row", "shingles", "prefix").dropDuplicates(["set"])
+    narrow = materialize(sets.drop("row", "shingles", "fingerprint").dropDuplicates(["set"]), "narrow")
     sketch = [f"s{k}" for k in range(PARITY)]
     slack = (1 - similarity) / (1 + similarity)
 
@@ -348,32 +359,43 @@ def alike_classes(sets: DataFrame, similarity: float) -> DataFrame:
         room = slack * (F.col(f"{x}.n") + F.col(f"{y}.n")) + 1e-6
         return (F.abs(F.col(f"{x}.n") - F.col(f"{y}.n")) <= room) & (differ <= room)
 
-    stars = shared.where("a <> set").select("a", F.col("set").alias("b")).distinct()
+    stars = shared.where("a <> set").select("a", F.col("set").alias("b")).unionByName(print_pairs(sets, radius)).distinct()
     stars = stars.join(narrow.alias("x"), F.col("a") == F.col("x.set")).join(narrow.alias("y"), F.col("b") == F.col("y.set")).where(possible("x", "y")).select("a", "b")
-    linked = _alike(materialize(stars, "stars"), sets, similarity)
+    stars = materialize(stars, "stars")
+    linked = _alike(stars, whole, similarity)
     labels = connected_components(linked).toDF("set", "label")
-    left = shared.select("set", "shingle").join(labels, "set", "left").withColumn("label", F.coalesce("label", "set"))
-    left = materialize(left, "left")
+    left = materialize(shared.select("set", "shingle").join(labels, "set", "left").withColumn("label", F.coalesce("label", "set")), "left")
     open_ = left.groupBy("shingle").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("shingle")
-    left = materialize(left.join(open_, "shingle", "left_semi").join(narrow, "set"), "open")
-    x, y = left.alias("x"), left.alias("y")
+    undone = materialize(left.join(open_, "shingle", "left_semi").join(narrow, "set"), "open")
+    x, y = undone.alias("x"), undone.alias("y")
     rest = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.set") < F.col("y.set")) & (F.col("x.label") != F.col("y.label")) & possible("x", "y"))
     rest = materialize(rest.select(F.col("x.set").alias("a"), F.col("y.set").alias("b")).distinct(), "rest")
-    more = _alike(rest, sets, similarity)
-    for table in (shared, left, rest):
+    for table in (shared, left, undone, narrow, stars):
         release(table)
+    more = _alike(rest, whole, similarity)
+    release(rest)
     return connected_components(linked.unionByName(more)).toDF("set", "label")
 
 
-def near_duplicate_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+def near_duplicate_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 3) -> DataFrame:
     """Groups by links of Jaccard ``similarity`` or more between sets of five-word shingles: row (doc_id and hash of the text), component_id (the least row).
 
     Every such pair is in one group and no other link is taken. Texts of fewer words are one shingle; texts without words make
-    none and group with each other.
+    none and group with each other. Only prefixes and sketches of sets are written; the whole sets are made again from the
+    texts that have candidates.
     """
-    made = materialize(shingle_sets(docs, words, similarity), "sets")
+    common = common_shingles(docs, words)
+    made = materialize(shingle_sets(docs, words, similarity, common).withColumn("shingles", F.slice("shingles", F.lit(1), F.col("prefix"))).drop("prefix"), "sets")
     of = materialize(made.select("row", "set"), "rows")
-    labels = materialize(alike_classes(made, similarity), "labels")
+
+    def whole(named: DataFrame) -> DataFrame:
+        """``set``, ``shingles`` of the named sets, from one row of each."""
+        one = materialize(of.join(named, "set", "left_semi").groupBy("set").agg(F.min("row").alias("row")).select("row.*").toDF("__id", "__hash"), "wanted")
+        texts = likely(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), _text_hash().alias("__text")), "__text", one.select("__hash")).where("likely")
+        texts = texts.join(one, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__hash")), "left_semi").dropDuplicates(["doc_id", "__text"])
+        return shingle_sets(texts, words, similarity, common).select("set", "shingles").dropDuplicates(["set"])
+
+    labels = materialize(alike_classes(made, whole, similarity, radius), "labels")
     release(made)
     least = of.groupBy("set").agg(F.min("row").alias("least"))
     labelled = materialize(least.join(labels, "set", "left").select("set", "least", F.coalesce("label", "set").alias("label")), "labelled")
@@ -383,9 +405,17 @@ def near_duplicate_groups(docs: DataFrame, words: int = 5, similarity: float = 0
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """Rows of ``docs`` without near copies: of each group the row with the smallest doc_id stays (by the hash of its text if texts share the id), one row if that repeats. Rows without a doc_id stay."""
+    """Rows of ``docs`` without near copies: of each group the row with the smallest doc_id stays (by the hash of its text if texts share the id), one row if that repeats. Rows without a doc_id stay.
+
+    Null and empty texts are one group; an empty table gives an empty one; other columns may have any names. Only rows that
+    may have to go meet the decisions in a join; all others are written as they are read.
+    """
     groups = near_duplicate_groups(docs.where("doc_id is not null"), **options)
-    stay = materialize(groups.select("component_id.*").distinct().toDF("__id", "__hash"), "stay")
-    rows = docs.withColumn("__text", _text_hash())
-    kept = rows.join(stay, (F.col("doc_id") == F.col("__id")) & (F.col("__text") == F.col("__hash")))
-    return kept.dropDuplicates(["doc_id", "__text"]).drop("__id", "__hash", "__text").unionByName(docs.where("doc_id is null"))
+    rows = groups.groupBy("row").agg(F.first("component_id").alias("component_id"), F.count(F.lit(1)).alias("n"))
+    concerned = rows.where("row <> component_id or n > 1").select("row.doc_id", "row.text_hash", (F.col("row") == F.col("component_id")).alias("stays"))
+    concerned = materialize(concerned.toDF("__id", "__hash", "__stays"), "concerned")
+    own = docs.select(F.struct(*docs.columns).alias("__doc"), F.col("doc_id").cast("long").alias("__own"), _text_hash().alias("__text"))
+    own = likely(own, "__text", concerned.select("__hash"))
+    met = own.where("likely and __own is not null").join(concerned, (F.col("__own") == F.col("__id")) & (F.col("__text") == F.col("__hash")), "left")
+    kept = met.where("__id is null or __stays").dropDuplicates(["__own", "__text"])
+    return own.where("not likely or __own is null").select("__doc.*").unionByName(kept.select("__doc.*"))

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from roomflux.plans.lineage import materialize
+
 #: Matches whose lengths are added up one by one; longer lists are summed in blocks, so cost stays near linear.
 BLOCK = 256
 
@@ -65,3 +67,22 @@ def text_key(text: Column) -> list[Column]:
 
 
 KEY = ["k1", "k2", "k3"]
+
+#: A bitmap of keys: longs of 64 bits, one row each.
+MARKS = 1 << 18
+
+
+def likely(rows: DataFrame, key: str, keys: DataFrame, name: str = "likely") -> DataFrame:
+    """``rows`` with ``name``: false only where ``key`` (a 64-bit hash) is surely not in ``keys`` (one column of such hashes).
+
+    The keys are marked in a bitmap of ``MARKS`` longs at most, which is broadcast, whatever their number: what few keys
+    concern is told apart without a shuffle of ``rows``, and an exact join is left to the rows that may be concerned.
+    """
+    mark = keys.toDF("__key").where("__key is not null")
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned("__key", 20).bitwiseAND(F.lit(63)).cast("int"))
+    marks = mark.groupBy(F.col("__key").bitwiseAND(F.lit(MARKS - 1)).cast("int").alias("__at")).agg(F.bit_or(bit).alias("__bits"))
+    marks = F.broadcast(materialize(marks, "marks"))  # at most MARKS rows
+    own = F.shiftrightunsigned(F.col(key), 20).bitwiseAND(F.lit(63)).cast("int")
+    out = rows.join(marks, F.col(key).bitwiseAND(F.lit(MARKS - 1)).cast("int") == F.col("__at"), "left")
+    met = F.coalesce(F.call_function("shiftrightunsigned", F.col("__bits"), own).bitwiseAND(F.lit(1)) == 1, F.lit(False))
+    return out.withColumn(name, met).drop("__at", "__bits")

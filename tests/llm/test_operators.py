@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from roomflux.llm import fingerprints, mixing, ogg, packing, pii, quality, secrets, simhash, toxicity, url_lists
+from roomflux.llm import fingerprints, mixing, ogg, packing, pii, quality, secrets, simhash, spans, toxicity, url_lists
 from roomflux.llm.queries import tokenizer_path
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, k1 string, fingerprint string, size int, kind string"
@@ -506,3 +506,94 @@ def test_fingerprint_search_matches_brute_force(spark):
 
 def test_fingerprints_empty(empty):
     assert fingerprints.fingerprints(empty).count() == 0
+
+
+def test_toxicity_scores_are_those_of_a_plain_loop():
+    rng = np.random.default_rng(1)
+    words = [f"word{k}" for k in range(40)] + ["a", "Ab.", "!!", "und"]
+    texts = [" ".join(rng.choice(words, int(n))) for n in rng.integers(0, 60, 60)] + ["", "  "]
+    y = np.array([float("word7" in t) for t in texts])
+    model = toxicity.Model(*toxicity.train(texts, y, epochs=3))
+
+    def plain(text):
+        rows = [toxicity.units(toxicity.plain(w)) for w in text.split()]
+        vectors = [sum(model.table[r].astype(float) for r in row) for row in rows] + [np.zeros(toxicity.DIM)] * (toxicity.GAP + 1)
+        z = model.b
+        for k, f in enumerate(model.filters):
+            tops = [max(float(sum(vectors[at + j] @ f[j][:, c] for j in range(len(f)))) for at in range(len(rows) + 1)) for c in range(toxicity.FILTERS)]
+            z += sum(max(0.0, t + model.shift[k, c]) * model.w[k * toxicity.FILTERS + c] for c, t in enumerate(tops))
+        spoken = Counter(toxicity._SPOKEN[w] for w in map(toxicity.plain, text.split()) if w in toxicity._SPOKEN)
+        lang = min(spoken, key=lambda k: (-spoken[k], k)) if spoken else len(toxicity.LANGUAGES)
+        return 1 / (1 + np.exp(-np.clip(z - model.cut[lang], -30, 30)))
+
+    got = toxicity.Scorer(model)(texts)
+    assert np.allclose(got, [plain(t) for t in texts], atol=1e-5)
+
+
+def test_toxicity_of_a_long_text_is_that_of_its_windows(monkeypatch):
+    texts = [" ".join(f"w{(k * 7) % 31}" for k in range(n)) for n in (0, 1, 9, 10, 11, 95)]
+    model = toxicity.Model(*toxicity.train([f"w{k} w{k % 5}" for k in range(40)], np.array([k % 2 for k in range(40)], float), epochs=1))
+    want = toxicity.Scorer(model)(texts)
+    monkeypatch.setattr(toxicity, "PIECE", 10)
+    assert np.array_equal(toxicity.Scorer(model)(texts), want)
+
+
+def test_quality_scores_are_those_of_a_plain_loop():
+    rng = np.random.default_rng(2)
+    words = [f"word{k}" for k in range(30)] + ["x" * 90, "é", "a"]
+    texts = [" ".join(rng.choice(words, int(n))) for n in rng.integers(1, 40, 50)]
+    odds = quality.train(texts, np.array([float("word3" in t) for t in texts])).astype(np.float32)
+
+    def row(gram):
+        return ((gram[0] | gram[1] << 8 | gram[2] << 16) * 2654435761 % 2**32) >> (32 - quality.BITS)
+
+    def of_word(word):
+        raw = f"<{word}>".encode()
+        own = [odds[zlib.crc32(word.encode()) % quality.BUCKETS], *(odds[row(raw[k : k + 3])] for k in range(len(raw) - 2))]
+        return float(np.mean(np.array(own, np.float64)))
+
+    def plain(text):
+        w = text.split()
+        marks = [quality.AGAIN] * sum(a == b for a, b in zip(w, w[1:], strict=False))
+        z = sum(map(of_word, w + marks)) / max(1, len(w) + len(marks)) + float(odds[-1])
+        return 1 / (1 + np.exp(-z))
+
+    assert np.allclose(quality.Scorer(odds)(texts + [""]), [plain(t) for t in texts + [""]], atol=1e-5)
+
+
+def test_sample_of_labelled_rows_is_bounded(spark):
+    """Repeated rows count once, and neither rows nor characters exceed their bounds."""
+    from roomflux.llm.textmodel import fitted, held_out
+
+    docs = spark.range(200).withColumnRenamed("id", "doc_id").withColumn("text", F.concat(F.lit("text "), F.col("doc_id"))).withColumn("again", F.explode(F.array(*map(F.lit, range(30)))))
+    labels = spark.range(200).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("quality"))
+    free = {r["doc_id"] for r in labels.where(~held_out("doc_id")).collect()}
+    texts, y = fitted(docs, labels, "quality", 500, lambda t, y: (t, y))
+    assert sorted(texts) == sorted(f"text {k}" for k in free) and all(int(t.split()[1]) % 2 == v for t, v in zip(texts, y, strict=True))
+    assert len(fitted(docs, labels, "quality", 20, lambda t, y: t)) == 20
+    assert sum(map(len, fitted(docs, labels, "quality", 500, lambda t, y: t, chars=100))) <= 100
+    assert fitted(docs.limit(0), labels, "quality", 500, lambda t, y: len(t)) == 0
+
+
+def test_encoder_takes_long_white_space():
+    encoder = packing.TextEncoder(tokenizer_path())
+    for text in ("\n" * 2_000_000 + "a", "a" + " " * 1_500_000 + "b", "x\n" * 50_000):
+        assert encoder.encode(text) == np.asarray(encoder.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
+def test_likely_misses_no_key(spark):
+    rows = spark.range(5000).select(F.xxhash64("id").alias("h"), "id")
+    keys = rows.where("id % 50 = 0").select("h")
+    marked = {r["id"] for r in spans.likely(rows, "h", keys).where("likely").collect()}
+    assert {k for k in range(5000) if k % 50 == 0} <= marked and len(marked) < 300
+    assert spans.likely(rows, "h", keys.limit(0)).where("likely").count() == 0
+    assert spans.likely(rows.withColumn("h", F.lit(None).cast("long")), "h", keys).where("likely").count() == 0
+
+
+def test_pii_context_words_are_whole(spark):
+    long = "p" * 700
+    cases = ["a b ", f"{long} b ", f"a {long} ", f"x {long} {long} ", "\nb ", f"{long}\nb ", "a b", "", f"q\n{long} b "]
+    df = spark.createDataFrame([(k, left, f" {long}{k} z") for k, left in enumerate(cases)], "k int, l string, r string")
+    for r in df.select("*", pii._words(F.col("l"), F.col("r")).alias("p")).collect():
+        two, one = re.search(r"(\S+[^\S\n]+\S+)[^\S\n]+$", r["l"]), re.search(r"(\S+)[^\S\n]+$", r["l"])
+        assert r["p"] == ([two[1] + " _"] if two else []) + ([f"{one[1]} _ {long}{r['k']}"] if one else [])

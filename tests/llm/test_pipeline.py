@@ -2,11 +2,10 @@
 
 from collections import Counter, defaultdict
 
-import numpy as np
 import pytest
 
 import corpus_pipeline
-from roomflux.llm import pii, quality, simhash
+from roomflux.llm import pii, quality
 from roomflux.plans.lineage import materialize
 
 from .test_operators import BASE, brute_targets, check_pack, pii_base, words_of
@@ -38,14 +37,15 @@ def test_quality_keeps_what_the_classifier_predicts(spark, stages):
     assert rows(stages[1]) == rows(stages[0].join(scores, "doc_id", "left_semi").select(*stages[0].columns))
 
 
+def shingles(text):
+    words = (text or "").lower().split()
+    return frozenset(tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))) if words else frozenset()
+
+
 def test_one_of_each_group(stages):
+    """Groups are those of all pairs of Jaccard 0.8 or more: none of them is lost, and no pair below is joined."""
     docs = [tuple(r) for r in stages[1].collect()]
-    prints = [[int(x) for x in simhash.fingerprint(simhash.shingle_hashes(r[1], 5), 8)] for r in docs]
-    wide = [sum(x << 64 * (7 - k) for k, x in enumerate(p)) for p in prints]  # bit 0 is the top bit of the first word
-    j = 2 * 0.8 / 1.8
-    share = float(np.arccos(j) / np.pi)
-    far = int(512 * share + np.sqrt(512 * share * (1 - share)))
-    runs = [((1 << 28) - 1) << (512 - 28 * (k + 1)) for k in range(9)]
+    sets = [shingles(r[1]) for r in docs]
     group = list(range(len(docs)))
 
     def root(x):
@@ -53,14 +53,16 @@ def test_one_of_each_group(stages):
             x = group[x]
         return x
 
+    linked = 0
     for a in range(len(docs)):
         for b in range(a):
-            d = wide[a] ^ wide[b]
-            if d.bit_count() <= far and any((d & m).bit_count() <= 2 for m in runs):
+            if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                linked += 1
                 group[max(root(a), root(b))] = min(root(a), root(b))
     least = {}
     for k, r in enumerate(docs):
         least[root(k)] = min(least.get(root(k), r), r, key=lambda r: r[0])
+    assert linked
     assert rows(stages[2]) == Counter(least.values())
 
 
@@ -106,3 +108,37 @@ def test_mixture(stages):
 
 def test_packed(stages):
     check_pack(stages[5].collect(), [(r["doc_id"], r["text"]) for r in stages[4].collect()])
+
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, likely boolean, __doc string, __text string, __hash long, __id long, __u long"
+CASES = [
+    (None, None, None, None, None),
+    (1, None, None, None, None),
+    (2, "", "en", "a", 0),
+    (3, " \n ", "en", "a", 3),
+    (4, "one two", "en", "b", 7),
+    (4, "one two", "en", "b", 7),
+    (5, "x " * 60_000 + "mail a@b.cd", "en", None, 120_011),
+    (None, "mail a@b.cd again", "en", "b", 17),
+]
+
+
+@pytest.mark.parametrize("filled", [True, False])
+def test_stages_with_nulls_repeats_and_clashing_names(spark, filled):
+    """Each stage on rows of nulls, empty and long texts and repeats, on an empty table, and with columns named like its own."""
+    docs = spark.createDataFrame([(*r, True, "d", "t", 3, 4, 5) for r in CASES] if filled else [], SCHEMA)
+    seen = {}
+    for name, stage in corpus_pipeline.STAGES:
+        out = materialize(stage(spark, docs, DIR), "odd")
+        seen[name] = out.collect()
+        if name != "best-fit packing":
+            assert out.schema == docs.schema
+            docs = out if name != "quality classifier" else docs
+    if not filled:
+        assert not any(seen.values())
+        return
+    kept = Counter(r["doc_id"] for r in seen["simhash near-dedup"])
+    assert kept == Counter({None: 2, 1: 1, 4: 1, 5: 1})  # 1, 2 and 3 have no words and are one group
+    assert not any("a@b.cd" in (r["text"] or "") for r in seen["pii"])
+    assert all(r["__hash"] == 3 and r["__id"] == 4 and r["__u"] == 5 for r in seen["source mixing"])
+    check_pack(seen["best-fit packing"], [(r["doc_id"], r["text"]) for r in seen["source mixing"]])
