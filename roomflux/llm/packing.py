@@ -13,9 +13,9 @@ import json
 import re
 import zlib
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -44,9 +44,8 @@ class TextEncoder:
 
     def __init__(self, path: str, pattern: str = PATTERN):
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.path = path
         with open(path, encoding="utf-8") as f:
             vocabulary = json.load(f)["model"]["vocab"]
         kept = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -54,6 +53,13 @@ class TextEncoder:
         ranks = {bytes(letters[c] for c in token): i for token, i in vocabulary.items() if token != SPECIAL}
         self.fast = tiktoken.Encoding("merges", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
+    @cached_property
+    def tokenizer(self):
+        """Loaded by the first text that needs it."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def encode(self, text: str) -> bytes:
         odd = SPECIAL in text or len(text) >= RUN and any(m.end() - m.start() >= RUN for m in SPACES.finditer(text))
         ids = self.tokenizer.encode(text, add_special_tokens=False).ids if odd else self.fast.encode_ordinary(text)
@@ -65,7 +71,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, seen, part = TextEncoder(tokenizer), [0] * (capacity + 1), TaskContext.get().partitionId()
-        for b in batches:
+        for b in (whole.slice(at, 256) for whole in batches for at in range(0, whole.num_rows, 256)):
             rows = []
             for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text"), strict=True):
                 ids = encoder.encode(text.as_py() or "") + EOS.to_bytes(4, "little")
@@ -120,7 +126,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame
     files = materialize(cut.groupBy("length", "part").count(), "counts")
     before = files.withColumn("before", F.sum("count").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)))
     counts = {r["length"]: r["n"] for r in files.groupBy("length").agg(F.sum("count").alias("n")).collect()}  # at most `capacity` rows
-    plan = spark.createDataFrame(pd.DataFrame(best_fit(counts, capacity), columns=["length", "first_rank", "n", "first_sequence", "offset"]), PLAN) if counts else spark.createDataFrame([], PLAN)
+    plan = spark.createDataFrame(best_fit(counts, capacity), PLAN)
     # The plan's size depends on the capacity alone: ranges of each of at most `capacity` lengths, so it is broadcast.
     slots = F.broadcast(plan.groupBy("length").agg(F.sort_array(F.collect_list(F.struct("first_rank", "n", "first_sequence", "offset"))).alias("slots")))
     # The counts grow with the files, so they are never broadcast.

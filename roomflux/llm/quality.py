@@ -15,7 +15,7 @@ from operator import eq
 import numpy as np
 from pyspark.sql import DataFrame
 
-from roomflux.llm.textmodel import fitted, scored, word_hash
+from roomflux.llm.textmodel import ROWS, fitted, scored, word_hash
 
 BITS = 16
 BUCKETS = 1 << BITS
@@ -26,7 +26,7 @@ EPOCHS = 3
 BATCH = 128
 THRESHOLD = 0.3
 #: Words whose scores a worker keeps; those of runs longer than KEPT are forgotten after their text.
-CACHE = 500_000
+CACHE = 200_000
 KEPT = 64
 #: Bytes of distinct words whose n-grams are made at a time; a longer run without white space is taken in pieces that all count.
 PIECE = 1 << 20
@@ -193,9 +193,9 @@ def keep_good(docs: DataFrame, labels: DataFrame, limit: int = LIMIT, threshold:
 
     def run(batches):
         score = Scorer(odds)
-        for b in batches:
-            at = b.schema.get_field_index("text")
-            keep = score([t.as_py() or "" for t in b.column(at)]) >= threshold
-            yield b.filter(pa.array(keep))
+        for whole in batches:
+            place = whole.schema.get_field_index("text")
+            for b in (whole.slice(at, ROWS) for at in range(0, whole.num_rows, ROWS)):
+                yield b.filter(pa.array(score([t.as_py() or "" for t in b.column(place)]) >= threshold))
 
     return docs.mapInArrow(run, docs.schema)

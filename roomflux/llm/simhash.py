@@ -16,7 +16,6 @@ from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -199,42 +198,50 @@ def linked_classes(prints: DataFrame, tables: list, far: int, n_words: int = 1,
     rows = rows.withColumn("flip", F.explode(F.when(F.col("hot"), F.array(*map(F.lit, flips))).otherwise(F.array(F.lit(-1)))))
     rows = rows.withColumn("node", F.when(F.col("hot"), F.least(top, top.bitwiseXOR(F.col("flip").cast("long")))).otherwise(F.lit(-1).cast("long")))
 
-    def join(pdf: pd.DataFrame) -> pd.DataFrame:
-        keys = pdf["key"].to_numpy(np.int64).view(np.uint64)
-        order = np.argsort(keys, kind="stable")
-        keys = keys[order]
-        bits = np.stack([pdf[f"w{k}"].to_numpy(np.int64).view(np.uint64)[order] for k in range(n_words)], 1)
-        split = int(np.searchsorted(keys >> np.uint64(56), (keys[0] >> np.uint64(56)) + np.uint64(1))) if pdf["flip"].iloc[0] > 0 else None
+    ids, columns = ["t", "run", "node", "flip"], ["key", *(f"w{k}" for k in range(n_words))]
+
+    def join(flip: int, parts: list[np.ndarray]) -> tuple[list[str], list[str]]:
+        """The links of one subtree; ``parts``: rows of key and words."""
+        rows = np.concatenate(parts).view(np.uint64)
+        rows = rows[np.argsort(rows[:, 0], kind="stable")]
+        keys, bits = np.ascontiguousarray(rows[:, 0]), np.ascontiguousarray(rows[:, 1:])
+        split = int(np.searchsorted(keys >> np.uint64(56), (keys[0] >> np.uint64(56)) + np.uint64(1))) if flip > 0 else None
         parent = trie_links(keys, bits, near, far, split) if split is None or split < len(keys) else np.arange(len(keys))
         told = np.flatnonzero(parent != np.arange(len(keys)))
-        a, b = (["".join(f"{x:016x}" for x in row) for row in bits[at].tolist()] for at in (told, parent[told]))
-        return pd.DataFrame({"a": a, "b": b}, dtype=object)
-
-    def runs(pdf_iter: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Rows come sorted by subtree; a subtree is bounded by ``hot``, so at most one is held besides the batch read."""
-        held: list[pd.DataFrame] = []
-        last = None
-        for pdf in pdf_iter:
-            ids = pdf[["t", "run", "node", "flip"]].to_numpy()
-            cuts = np.flatnonzero((ids[1:] != ids[:-1]).any(1)) + 1
-            edges = [0, *cuts.tolist(), len(pdf)]
-            found = []
+        return tuple(["".join(f"{x:016x}" for x in row) for row in bits[at].tolist()] for at in (told, parent[told]))
+
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by subtree; at most one subtree is held besides the batch read."""
+        held: list[np.ndarray] = []
+        last, found = None, ([], [])
+
+        def done() -> pa.RecordBatch:
+            made = pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in found], names=["a", "b"])
+            for x in found:
+                x.clear()
+            return made
+
+        def close() -> None:
+            if sum(map(len, held)) > 1:
+                for x, y in zip(found, join(int(last[3]), held), strict=True):
+                    x.extend(y)
+            held.clear()
+
+        for b in batches:
+            names = np.stack([b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ids], 1)
+            rows = np.stack([b.column(c).to_numpy(zero_copy_only=False) for c in columns], 1)
+            edges = [0, *(np.flatnonzero((names[1:] != names[:-1]).any(1)) + 1).tolist(), len(names)]
             for lo, hi in zip(edges, edges[1:], strict=False):
-                if hi <= lo:
-                    continue
-                if last is not None and tuple(ids[lo]) != last:
-                    if sum(map(len, held)) > 1:
-                        found.append(join(pd.concat(held)))
-                    held = []
-                last = tuple(ids[lo])
-                held.append(pdf.iloc[lo:hi])
-            if found:
-                yield pd.concat(found)
-        if sum(map(len, held)) > 1:
-            yield join(pd.concat(held))
-
-    by = ["t", "run", "node", "flip"]
-    edges = rows.drop("hot", "fingerprint").repartition(*by).sortWithinPartitions(*by).mapInPandas(runs, "a string, b string")
+                if hi > lo:
+                    if last is None or (names[lo] != last).any():
+                        close()
+                        last = names[lo].copy()
+                    held.append(rows[lo:hi].copy())
+            yield done()
+        close()
+        yield done()
+
+    edges = rows.select(*ids, *columns).repartition(*ids).sortWithinPartitions(*ids).mapInArrow(runs, "a string, b string")
     return connected_components(edges).withColumnRenamed("node", "fingerprint")
 
 
@@ -259,19 +266,41 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFra
     return classes(fingerprints(docs, words).drop("text_hash"), plan_tables(64, radius), radius)
 
 
-#: Bits of the parity sketch of a shingle set, in longs; a shingle toggles one bit.
+#: Longs of the parity sketch of a shingle set, at least; a shingle toggles one bit.
 PARITY = 16
+#: Share of tests that must find a link for another turn of stars.
+FRUITFUL = 0.25
 #: Texts that the common shingles are counted in, and how many of them must hold a shingle.
 COUNTED = 4_000
 COMMON = 4
 
 
 def parity(shingles: np.ndarray) -> np.ndarray:
-    """``PARITY`` longs in which each shingle toggles a bit. Two sets' sketches differ in at most as many bits as the sets in members."""
-    odd = np.bincount((_mixed(shingles, 1) % np.uint64(64 * PARITY)).astype(np.int64), minlength=64 * PARITY) & 1
+    """Longs in which each shingle toggles a bit. Two sets' sketches differ in at most as many bits as the sets in members.
+
+    There are ``PARITY`` longs, doubled until they have as many bits as the set has members, so that sketches of long sets tell
+    them apart too. A sketch folds: the exclusive or of its halves is the sketch of half the length.
+    """
+    longs = PARITY
+    while 64 * longs < len(shingles):
+        longs *= 2
+    odd = np.bincount((_mixed(shingles, 1) % np.uint64(64 * longs)).astype(np.int64), minlength=64 * longs) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
+def _folded(sketch, longs):
+    """A sketch folded to ``longs`` if it has twice as many."""
+    halves = F.zip_with(F.slice(sketch, F.lit(1), longs), F.slice(sketch, longs + 1, longs), lambda x, y: x.bitwiseXOR(y))
+    return F.when(F.size(sketch) > longs, halves).otherwise(sketch)
+
+
+def sketch_distance(x, y):
+    """In how many bits two sketches differ, the longer folded to the length of the other; of sketches that differ fourfold, 0."""
+    longs = F.least(F.size(x), F.size(y))
+    bits = F.aggregate(F.zip_with(_folded(x, longs), _folded(y, longs), lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda n, d: n + d)
+    return F.when(F.greatest(F.size(x), F.size(y)) <= 2 * longs, bits).otherwise(0)
+
+
 def common_shingles(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
     """Shingles (sorted) that many of a bounded sample of the distinct texts hold, and in how many. Only the order of shingles depends on it."""
     every = max(1, docs.count() // COUNTED)
@@ -283,8 +312,8 @@ def common_shingles(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray
             shingles, n = np.unique(np.concatenate([np.empty(0, np.uint64), *held]), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(shingles.view(np.int64)), pa.array(n)], names=["shingle", "n"])
 
-    found = texts.mapInArrow(run, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON).toPandas()
-    shingles, n = found["shingle"].to_numpy(np.int64).view(np.uint64), found["n"].to_numpy(np.int64)
+    found = texts.mapInArrow(run, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON).toArrow()
+    shingles, n = found.column("shingle").to_numpy().astype(np.int64).view(np.uint64), found.column("n").to_numpy().astype(np.int64)
     order = np.argsort(shingles)
     return shingles[order], n[order]
 
@@ -315,7 +344,7 @@ def shingle_sets(docs: DataFrame, words: int, similarity: float, common: tuple[n
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _text_hash().alias("text_hash"), F.col("text").cast("string").alias("text"))
     made = rows.mapInArrow(run, "doc_id long, text_hash long, set long, shingles array<long>, n int, prefix int, fingerprint string, sketch array<long>")
-    return made.select(F.struct("doc_id", "text_hash").alias("row"), "set", "shingles", "n", "prefix", "fingerprint", *(F.get("sketch", k).alias(f"s{k}") for k in range(PARITY)))
+    return made.select(F.struct("doc_id", "text_hash").alias("row"), "set", "shingles", "n", "prefix", "fingerprint", "sketch")
 
 
 def _alike(pairs: DataFrame, whole, similarity: float) -> DataFrame:
@@ -343,38 +372,62 @@ def alike_classes(sets: DataFrame, whole, similarity: float, radius: int = 3) ->
 
     Exact: every pair of sets of Jaccard ``similarity`` is linked or in one class already, and no other pair is. The trie
     self-join of fingerprints and the least set of each prefix shingle propose the first candidates; they join large families
-    by a number of tests in proportion to their size. Of the pairs that share a prefix shingle, those that then still differ
-    in class are tested pair by pair, unless lengths or sketches show that too many members differ.
+    by a number of tests in proportion to their size. Where classes still share a shingle, other sets of it take the place of
+    the least, turn by turn, as long as a share ``FRUITFUL`` of the tests finds a link. Of the pairs that share a prefix
+    shingle, those that then still differ in class are tested pair by pair. Pairs are tested on whole sets unless lengths or
+    sketches show that too many members differ.
     """
     postings = sets.select("set", F.explode("shingles").alias("shingle"))
     hubs = postings.groupBy("shingle").agg(F.min("set").alias("a"), F.max("set").alias("z")).where("a <> z").select("shingle", "a")
     shared = materialize(postings.join(hubs, "shingle").distinct(), "shared")
     narrow = materialize(sets.drop("row", "shingles", "fingerprint").dropDuplicates(["set"]), "narrow")
-    sketch = [f"s{k}" for k in range(PARITY)]
     slack = (1 - similarity) / (1 + similarity)
 
     def possible(x: str, y: str):
         """Whether lengths and sketches leave room: similar sets differ in a share ``slack`` of their summed lengths at most."""
-        differ = sum((F.bit_count(F.col(f"{x}.{c}").bitwiseXOR(F.col(f"{y}.{c}"))) for c in sketch), F.lit(0))
         room = slack * (F.col(f"{x}.n") + F.col(f"{y}.n")) + 1e-6
-        return (F.abs(F.col(f"{x}.n") - F.col(f"{y}.n")) <= room) & (differ <= room)
-
-    stars = shared.where("a <> set").select("a", F.col("set").alias("b")).unionByName(print_pairs(sets, radius)).distinct()
-    stars = stars.join(narrow.alias("x"), F.col("a") == F.col("x.set")).join(narrow.alias("y"), F.col("b") == F.col("y.set")).where(possible("x", "y")).select("a", "b")
-    stars = materialize(stars, "stars")
-    linked = _alike(stars, whole, similarity)
-    labels = connected_components(linked).toDF("set", "label")
-    left = materialize(shared.select("set", "shingle").join(labels, "set", "left").withColumn("label", F.coalesce("label", "set")), "left")
-    open_ = left.groupBy("shingle").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("shingle")
-    undone = materialize(left.join(open_, "shingle", "left_semi").join(narrow, "set"), "open")
-    x, y = undone.alias("x"), undone.alias("y")
+        return (F.abs(F.col(f"{x}.n") - F.col(f"{y}.n")) <= room) & (sketch_distance(F.col(f"{x}.sketch"), F.col(f"{y}.sketch")) <= room)
+
+    def tested(pairs: DataFrame) -> tuple[DataFrame, int]:
+        """Of ``pairs``, those that are alike, and how many had to be tested."""
+        own = pairs.join(narrow.alias("x"), F.col("a") == F.col("x.set")).join(narrow.alias("y"), F.col("b") == F.col("y.set")).where(possible("x", "y")).select("a", "b")
+        own = materialize(own, "pairs")
+        found = _alike(own, whole, similarity)
+        n = own.count()
+        release(own)
+        return found, n
+
+    def undone(linked: DataFrame) -> DataFrame:
+        """``set``, ``shingle``, ``label`` where sets of several classes share a prefix shingle."""
+        left = materialize(shared.select("set", "shingle").join(connected_components(linked).toDF("set", "label"), "set", "left").withColumn("label", F.coalesce("label", "set")), "left")
+        several = left.groupBy("shingle").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("shingle")
+        rest = materialize(left.join(several, "shingle", "left_semi"), "undone")
+        release(left)
+        return rest
+
+    linked, n = tested(shared.where("a <> set").select("a", F.col("set").alias("b")).unionByName(print_pairs(sets, radius)).distinct())
+    left, turn = undone(linked), 0
+    more = linked.count()
+    while more > FRUITFUL * n:
+        # Another set of each shingle is its star now: the least by a hash that changes with the turn.
+        turn += 1
+        hubs = left.groupBy("shingle").agg(F.min_by(F.struct("set", "label"), F.struct(F.xxhash64("set", F.lit(turn)), "set")).alias("hub"))
+        pairs = left.join(hubs, "shingle").where("label <> hub.label").select(F.least("set", "hub.set").alias("a"), F.greatest("set", "hub.set").alias("b")).distinct()
+        found, n = tested(pairs)
+        more = found.count()
+        if more:
+            linked = materialize(linked.unionByName(found), "linked")
+            release(left)
+            left = undone(linked)
+    full = left.join(narrow, "set")
+    x, y = full.alias("x"), full.alias("y")
     rest = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.set") < F.col("y.set")) & (F.col("x.label") != F.col("y.label")) & possible("x", "y"))
     rest = materialize(rest.select(F.col("x.set").alias("a"), F.col("y.set").alias("b")).distinct(), "rest")
-    for table in (shared, left, undone, narrow, stars):
+    for table in (shared, left, narrow):
         release(table)
-    more = _alike(rest, whole, similarity)
+    last = _alike(rest, whole, similarity)
     release(rest)
-    return connected_components(linked.unionByName(more)).toDF("set", "label")
+    return connected_components(linked.unionByName(last)).toDF("set", "label")
 
 
 def near_duplicate_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 3) -> DataFrame:

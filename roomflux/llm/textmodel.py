@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 FOLDS = 5
+#: Texts that a worker has as strings at a time.
+ROWS = 256
 #: Characters of the labelled texts that training takes at most.
 CHARS = 64_000_000
 
@@ -57,8 +59,8 @@ def scored(docs: DataFrame, make: Callable[[], Callable[[list[str]], np.ndarray]
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = make()
         for b in batches:
-            for at in range(0, b.num_rows, 256):
-                s = b.slice(at, 256)
+            for at in range(0, b.num_rows, ROWS):
+                s = b.slice(at, ROWS)
                 yield pa.RecordBatch.from_arrays([s.column("doc_id"), s.column("held_out"), pa.array(score([t.as_py() or "" for t in s.column("text")]), pa.float64())], names=["doc_id", "held_out", "score"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("held_out", F.coalesce(held_out("doc_id"), F.lit(False)))
