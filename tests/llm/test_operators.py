@@ -597,3 +597,46 @@ def test_pii_context_words_are_whole(spark):
     for r in df.select("*", pii._words(F.col("l"), F.col("r")).alias("p")).collect():
         two, one = re.search(r"(\S+[^\S\n]+\S+)[^\S\n]+$", r["l"]), re.search(r"(\S+)[^\S\n]+$", r["l"])
         assert r["p"] == ([two[1] + " _"] if two else []) + ([f"{one[1]} _ {long}{r['k']}"] if one else [])
+
+
+EXPRESSIONS = [r.pattern for r in secrets.RULES] + [
+    "abc", "ab", "a(?:bc|xyz)d", "(?:abc|x)y+z", "ab?c?xyz", "(?i:ABC)-[0-9]{3}", "[abc]xy[0-9]z", "(?:abc)?xyz", "(?:abc)+", "(?:abc|xyz){2,}1", "abc.*xyz", "^abc$", "a[^b]cxyz", "(a|b)(c|x)(y|z)", "(?<!a)bcx(?=y)", ".+", "(?:a|b.*c)xyz", "\\wabc\\d",
+]
+
+
+def held(query, grams):
+    return query[1] in grams if query[0] == "gram" else (all if query[0] == "all" else any)(held(q, grams) for q in query[1])
+
+
+@pytest.mark.parametrize("pattern", EXPRESSIONS)
+def test_every_match_meets_the_trigram_query(pattern):
+    rng = np.random.default_rng(5)
+    query = secrets.trigram_query(pattern)
+    parts = ["a", "b", "c", "x", "y", "z", "1", "-", " ", "abc", "ABC", "xyz", "bc", "token", "secret", "API_KEY", "=", ":", "AKIA", "A" * 16, "eyJ", "abcdefgh", ".", "ghp_", "a1" * 18, "Bearer", "xoxb-", "-----BEGIN ", "RSA ", "PRIVATE KEY-----", "123"]
+    met = matched = 0
+    for n in range(20_000):
+        text = "".join(rng.choice(parts, int(rng.integers(0, 9))))
+        ok = held(query, set(secrets.trigrams(text.lower())))
+        met += ok
+        if re.search(pattern, text):
+            matched += 1
+            assert ok, text
+    assert matched or len(pattern) > 20
+    assert query == secrets.EVERY or met < 20_000
+
+
+def test_index_gives_all_trigrams_of_the_dictionary(spark):
+    dictionary = sorted({"abc", "bcd", "cde", "a.c", "a-b", "---", "ab ", "b\"'", "é1x"})
+    texts = ["abcde", "xabxabcabc", "-----", "ABCD a.c", "", "ab b\"' É1X", "a-bcd"]
+    got = {}
+    for r in secrets.build_index(spark.createDataFrame(list(enumerate(texts)), "doc_id long, __text string"), dictionary).collect():
+        got.setdefault(r["doc_id"], []).append(dictionary[r["gram"]])
+    assert {k: sorted(v) for k, v in got.items()} == {k: w for k, t in enumerate(texts) if (w := [g for g in dictionary if g in t.lower()])}
+
+
+def test_secrets_of_copies_and_of_other_rules(spark):
+    df = spark.createDataFrame([(None, "token = abcdefg"), (None, "token = abcdefg"), (3, "token = abcdefg"), (4, "TOKEN=abcdefg"), (5, "tok en")], "doc_id long, text string")
+    assert sorted(r["n_assign"] for r in secrets.digest(secrets.find(df)).collect()) == [0, 1, 1, 1, 1]
+    own = (secrets.Rule("name", "ba[nr]{2}[0-9]+", 0, True), secrets.Rule("any", "[0-9]{4}", 0, True))
+    rows = spark.createDataFrame([(1, "x bann12 2024"), (2, "BANN1 ban")], "doc_id long, text string")
+    assert {r["doc_id"]: [tuple(s) for s in r["spans"]] for r in secrets.find(rows, own).collect()} == {1: [("name", 2, 8), ("any", 9, 13)], 2: []}
