@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from html.entities import name2codepoint
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,8 +20,8 @@ def segment(code: Column, n: int, separator: str = "-", parts: int = 3) -> Colum
 
 
 def squash(text: Column) -> Column:
-    """Runs of white space as one space, none at the ends."""
-    return F.trim(F.regexp_replace(text, r"\s+", " "))
+    """Runs of white space (no-break spaces and the like included) as one space, none at the ends."""
+    return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
 
 
 def list_cell(cell: Column, prefix: str = "") -> Column:
@@ -55,15 +57,22 @@ def minutes_of_day(text: Column) -> Column:
     return F.when(text.rlike("^[0-9]{1,2}:[0-9]{2}(:[0-9]{2})?$"), F.split_part(text, F.lit(":"), F.lit(1)).try_cast("int") * 60 + F.split_part(text, F.lit(":"), F.lit(2)).try_cast("int"))
 
 
-def door_number(text: Column) -> Column:
-    """One spelling of a door number: ``F01``; ``AUDMAX...``; ``d.dd`` with a lower-case letter; null for anything else."""
-    code = F.upper(F.trim(text))
-    plain = r"^([0-9])\.?([0-9]{2}) *([a-zA-Z]?)$"
-    return (
+def door_number(text: Column, overrides: dict[str, str] | None = None) -> Column:
+    """One spelling of a door number: ``F01`` (upper case alone); ``Audmax``; ``d.dd`` with a lower-case letter; null for anything else.
+
+    ``overrides`` replaces spellings by others.
+    """
+    code = F.trim(text)
+    plain = r"^([0-9])\.?([0-9]{2})\s*([a-zA-Z]?)$"
+    one = (
         F.when(code.rlike("^F[0-9]{2}$"), code)
-        .when(code.startswith("AUDMAX"), F.lit("AUDMAX"))
-        .when(F.trim(text).rlike(plain), F.concat(F.regexp_extract(F.trim(text), plain, 1), F.lit("."), F.regexp_extract(F.trim(text), plain, 2), F.lower(F.regexp_extract(F.trim(text), plain, 3))))
+        .when(F.upper(code).startswith("AUDMAX"), F.lit("Audmax"))
+        .when(code.rlike(plain), F.concat(F.regexp_extract(code, plain, 1), F.lit("."), F.regexp_extract(code, plain, 2), F.lower(F.regexp_extract(code, plain, 3))))
     )
+    if not overrides:
+        return one
+    table = F.create_map(*(F.lit(x) for pair in overrides.items() for x in pair))
+    return F.coalesce(table[one], one)
 
 
 def code_names(code: Column) -> tuple[Column, Column]:
@@ -75,10 +84,23 @@ def code_names(code: Column) -> tuple[Column, Column]:
 
 
 def unescape(text: Column) -> Column:
-    """The named and numbered entities that markup of registers holds; ampersands last."""
-    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
-        text = F.replace(text, F.lit(entity), F.lit(char))
-    return text
+    """Named and numbered character references as their characters, each once; names that the standard does not know stay."""
+    pattern = r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);"
+    names = F.create_map(*(F.lit(x) for name, code in sorted({**name2codepoint, "apos": 39}.items()) for x in (f"&{name};", chr(code))))
+
+    def char(code: Column) -> Column:
+        return F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+
+    def one(token: Column) -> Column:
+        digits = F.regexp_extract(token, "^&#[xX]?([0-9a-fA-F]+);$", 1)
+        number = F.when(token.rlike("^&#[xX]"), F.conv(digits, 16, 10)).otherwise(digits).try_cast("long")
+        valid = number.between(1, 0x10FFFF) & ~number.between(0xD800, 0xDFFF)
+        return F.when(token.startswith("&#"), F.when(valid, char(number)).otherwise("\ufffd")).otherwise(F.coalesce(F.try_element_at(names, token), token))
+
+    found = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), one)
+    pieces = F.split(text, pattern, -1)
+    whole = F.concat(F.get(pieces, F.lit(0)), F.array_join(F.zip_with(found, F.slice(pieces, F.lit(2), F.size(pieces)), lambda c, x: F.concat(c, x)), ""))
+    return F.when(text.contains("&"), whole).otherwise(text)
 
 
 def strip_tags(html: Column) -> Column:
@@ -91,7 +113,17 @@ def query_parameter(url: Column, name: str) -> Column:
     return F.when(found != "", found)
 
 
-def icons(name: Column) -> Column:
-    """Icon of a room by its name and kind: the first rule that holds."""
-    low = F.lower(name)
-    return F.when(low.contains("red"), "lift").when(low.contains("small"), "accessible").when(low.endswith("ring"), "female").when(low.endswith("widget"), "male").when(low.contains("blue"), "wc")
+def url_state(url: Column) -> tuple[Column, Column, Column, Column]:
+    """Selected, from, to and via of the fragment of a link: ``#CODE`` or ``#from=A&to=B&via=lift``; what follows a ? in it is left out."""
+    state = F.regexp_extract(F.split_part(F.regexp_extract(url, "#(.*)$", 1), F.lit("?"), F.lit(1)), r"^(.*)$", 1)
+    parts = [F.regexp_extract(state, f"(?:^|&){name}=([^&]*)", 1) for name in ("from", "to", "via")]
+    short = F.when(~state.contains("="), F.split_part(state, F.lit("&"), F.lit(1)))
+    return tuple(F.when(x != "", x) for x in (short, *parts))
+
+
+def icon(name: Column, rules: list[tuple[str, str]]) -> Column:
+    """Icon of the first rule (expression, icon) that the name, in lower case, meets; null if none does."""
+    low, out = F.lower(name), F
+    for pattern, value in rules:
+        out = out.when(low.rlike(pattern), value)
+    return out.otherwise(None)

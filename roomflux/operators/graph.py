@@ -14,15 +14,18 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from roomflux.plans.blocks import with_numbers
 from roomflux.plans.components import connected_components
 from roomflux.plans.lineage import materialize, release
 
 SMALL = 200_000
+#: Places (or nodes) of a queue that one task puts in order.
+RANGE = 4096
 
 
 def shortest_paths(edges: DataFrame, source: int, small: int = SMALL) -> DataFrame:
-    """node, dist from ``source`` over directed edges (a, b, w > 0); unreachable nodes are left out."""
-    own = materialize(edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"), F.col("w").cast("double").alias("w")), "edges")
+    """node, dist from ``source`` over directed edges (a, b, w > 0; those with a null are left out); unreachable nodes are left out."""
+    own = materialize(edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"), F.col("w").cast("double").alias("w")).where("a is not null and b is not null and w is not null"), "edges")
     if own.limit(small + 1).count() <= small:
 
         def solve(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -66,8 +69,8 @@ def unreachable(nodes: DataFrame, edges: DataFrame, source: int) -> DataFrame:
 
 
 def components(nodes: DataFrame, edges: DataFrame, small: int = SMALL) -> DataFrame:
-    """node, label (least node of its component), isolated nodes included."""
-    own = materialize(edges.select("a", "b").distinct(), "edges")
+    """node, label (least node of its component), isolated nodes included; edges with a null are left out."""
+    own = materialize(edges.select("a", "b").where("a is not null and b is not null").distinct(), "edges")
     if own.limit(small + 1).count() <= small:
 
         def solve(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -97,9 +100,16 @@ def largest_component(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return own.join(F.broadcast(top), "label", "left_semi")  # one row
 
 
-def bfs_parents(edges: DataFrame, sources: DataFrame, small: int = SMALL) -> DataFrame:
-    """node, parent, depth of a first-in first-out search: sources queue by node, neighbours by node; sources have no parent."""
-    own = materialize(edges.select("a", "b").distinct(), "edges")
+def bfs_parents(edges: DataFrame, sources: DataFrame, small: int = SMALL, closed: DataFrame | None = None) -> DataFrame:
+    """node, parent, depth of a first-in first-out search: sources queue by node, neighbours by node; sources have no parent.
+
+    Nodes in ``closed`` (such as codes that stand for several rooms) are reached but nothing is reached through them. Edges and
+    sources with a null are left out.
+    """
+    own = edges.select("a", "b").where("a is not null and b is not null").distinct()
+    if closed is not None:
+        own = own.join(closed.select(F.col("node").alias("a")).distinct(), "a", "left_anti")
+    own, sources = materialize(own, "edges"), sources.where("node is not null")
     if own.limit(small + 1).count() <= small and sources.limit(small + 1).count() <= small:
         tagged = own.withColumn("s", F.lit(False)).unionByName(sources.select(F.col("node").alias("a"), F.col("node").alias("b"), F.lit(True).alias("s")))
 
@@ -119,8 +129,8 @@ def bfs_parents(edges: DataFrame, sources: DataFrame, small: int = SMALL) -> Dat
             return pd.DataFrame({"node": pd.array(list(out), "Int64"), "parent": pd.array([p for p, _ in out.values()], "Int64"), "depth": [d for _, d in out.values()]})
 
         return tagged.withColumn("__all", F.lit(0)).groupBy("__all").applyInPandas(solve, "node long, parent long, depth int")
-    rank = Window.orderBy("node")
-    front = materialize(sources.select("node").distinct().select("node", F.lit(None).cast("long").alias("parent"), F.lit(0).alias("depth"), F.row_number().over(rank).cast("long").alias("place")), "front")
+    queue = with_numbers(sources.select("node").distinct(), "node", RANGE, [], "place")
+    front = materialize(queue.select("node", F.lit(None).cast("long").alias("parent"), F.lit(0).alias("depth"), F.col("place").cast("long").alias("place")), "front")
     parts = [front]
     seen = front.select("node")
     depth = 0
@@ -128,8 +138,8 @@ def bfs_parents(edges: DataFrame, sources: DataFrame, small: int = SMALL) -> Dat
         depth += 1
         step = front.select(F.col("node").alias("a"), "place").join(own, "a").join(seen.withColumnRenamed("node", "b"), "b", "left_anti")
         found = step.groupBy(F.col("b").alias("node")).agg(F.min_by("a", "place").alias("parent"), F.min("place").alias("__p"))
-        order = Window.orderBy("__p", "node")
-        front = materialize(found.select("node", "parent", F.lit(depth).alias("depth"), F.row_number().over(order).cast("long").alias("place")), "front")
+        queue = with_numbers(found, "__p", RANGE, ["node"], "place")
+        front = materialize(queue.select("node", "parent", F.lit(depth).alias("depth"), F.col("place").cast("long").alias("place")), "front")
         parts.append(front)
         seen = seen.unionByName(front.select("node"))
         if depth % 10 == 0:
@@ -140,6 +150,44 @@ def bfs_parents(edges: DataFrame, sources: DataFrame, small: int = SMALL) -> Dat
     return out.select("node", "parent", "depth")
 
 
+def route(edges: DataFrame, source: int, target: int, small: int = SMALL) -> DataFrame:
+    """node, dist of the nodes on a shortest path from ``source`` to ``target``; of equal ways each node's least predecessor. No way: no rows.
+
+    Predecessors are followed by doubling the steps, so rounds grow with the logarithm of the path's length.
+    """
+    own = edges.where("a is not null and b is not null and w is not null")
+    dist = materialize(shortest_paths(own, source, small), "dist")
+    near, far = dist.toDF("a", "da"), dist.toDF("b", "db")
+    jump = materialize(own.join(near, "a").join(far, "b").where(F.col("da") + F.col("w") == F.col("db")).groupBy(F.col("b").alias("node")).agg(F.min("a").alias("up")), "jump")
+    on = materialize(dist.where(F.col("node") == target).select("node"), "on")
+    n, was = on.count(), 0
+    while n > was:
+        was = n
+        on = materialize(on.unionByName(on.join(jump, "node").select(F.col("up").alias("node"))).distinct(), "on")
+        n = on.count()
+        jump = materialize(jump.join(jump.toDF("up", "further"), "up").select("node", F.col("further").alias("up")), "jump")
+    return dist.join(on, "node", "left_semi")
+
+
+def cycles(chain: DataFrame) -> DataFrame:
+    """k, cyclic (0 or 1), cycle: whether following ``via`` from ``k`` comes back to it, and after how many steps (null if never).
+
+    Doubling the steps until they are as many as the nodes leaves the nodes of cycles as the only ends; a cycle is as long as
+    its component of those has nodes. A null ``via`` ends a chain.
+    """
+    steps = jump = materialize(chain.where("k is not null and via is not null").select("k", "via"), "steps")
+    n, made = steps.count(), 1
+    while made < n:
+        jump = materialize(jump.select("k", F.col("via").alias("__v")).join(jump.toDF("__v", "__w"), "__v").select("k", F.col("__w").alias("via")), "jump")
+        made *= 2
+    ends = jump.select(F.col("via").alias("k")).distinct()
+    ring = materialize(steps.join(ends, "k", "left_semi"), "ring")
+    labels = connected_components(ring.toDF("a", "b")).toDF("k", "label")
+    of = materialize(ring.select("k").join(labels, "k", "left").select("k", F.coalesce("label", "k").alias("label")), "labels")
+    long = of.join(of.groupBy("label").agg(F.count(F.lit(1)).cast("int").alias("cycle")), "label").select("k", "cycle")
+    return chain.select("k").join(long, "k", "left").select("k", F.col("cycle").isNotNull().cast("int").alias("cyclic"), "cycle")
+
+
 def route_segments(path: DataFrame, group: str, order: str) -> DataFrame:
     """A path's runs on one level: level, points, length in the plane, and the levels climbed to reach it."""
     w = Window.partitionBy(group).orderBy(order)

@@ -62,6 +62,12 @@ def override_layer(base: DataFrame, local: DataFrame, key: str, value: str) -> D
     return merged.withColumn("__n", F.row_number().over(best)).where("__n = 1").drop("__n")
 
 
+def dictionary_by_use(df: DataFrame, value: str, order: list[Column]) -> DataFrame:
+    """Each value with its number from 0 in the order of first use. The window runs over the dictionary, one row a value; a null value is one too."""
+    first = df.groupBy(value).agg(F.min(F.struct(*(c.alias(f"o{k}") for k, c in enumerate(order)))).alias("__first"))
+    return first.select(value, (F.row_number().over(Window.orderBy("__first")) - 1).cast("int").alias("code"))
+
+
 def fresh_or_cached(fresh: DataFrame, cached: DataFrame, key: str, value: str) -> DataFrame:
     """The fresh value where there is one, else the cached one, and which it was."""
     both = fresh.select(key, F.col(value).alias("__f")).join(cached.select(key, F.col(value).alias("__c")), key, "full")

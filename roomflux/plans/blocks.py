@@ -2,7 +2,8 @@
 
 A window over a whole group puts its rows in one task. Here a group is cut into blocks by a column that grows with the order
 (a day, a range of ids); a block is summed up in one row, the sums are carried along the blocks of the group, and rows see
-their own block and what was carried into it. Rows are shuffled once, by group and block.
+their own block and what was carried into it. Rows are shuffled once, by group and block. Null groups are a group, null blocks a block
+that comes first, as nulls do in the order.
 """
 
 from __future__ import annotations
@@ -15,7 +16,16 @@ def _carried(df: DataFrame, group: list[str], block: str, summary: Column, carry
     """``df`` with ``__carry``: ``carry`` (a function of a window over the blocks of a group) of the blocks' summaries."""
     sums = df.groupBy(*group, block).agg(summary.alias("__sum"))
     along = Window.partitionBy(*group).orderBy(F.col(block).desc() if backward else F.col(block).asc())
-    return df.join(sums.select(*group, block, carry(along).alias("__carry")), [*group, block])
+    return _same(df, sums.select(*group, block, carry(along).alias("__carry")), [*group, block])
+
+
+def _same(df: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
+    """``df`` with the further columns of ``other`` by equal keys; nulls are equal, as in a window's partitions."""
+    named = other.select(*(F.col(k).alias(f"__key{n}") for n, k in enumerate(keys)), *(c for c in other.columns if c not in keys))
+    on = F.lit(True)
+    for n, k in enumerate(keys):
+        on &= F.col(k).eqNullSafe(F.col(f"__key{n}"))
+    return df.join(named, on).drop(*(f"__key{n}" for n in range(len(keys))))
 
 
 def with_previous(df: DataFrame, group: list[str], order: list[str], value: Column, block: str, name: str, backward: bool = False) -> DataFrame:
@@ -45,9 +55,9 @@ def with_last_known(df: DataFrame, group: list[str], order: list[str], value: Co
 
 
 def with_numbers(df: DataFrame, order: str, width: int, ties: list[str], name: str) -> DataFrame:
-    """Adds 1, 2, ... over all rows by a numeric column, without gathering them: numbers within ranges of ``width``, plus the counts of the ranges before."""
+    """Adds 1, 2, ... over all rows by a numeric column (nulls last), without gathering them: numbers within ranges of ``width``, plus the counts of the ranges before."""
     rows = df.withColumn("__range", F.floor(F.col(order) / width))
-    before = F.sum("__n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1))
+    before = F.sum("__n").over(Window.orderBy(F.col("__range").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1))
     ranges = rows.groupBy("__range").agg(F.count(F.lit(1)).alias("__n")).select("__range", F.coalesce(before, F.lit(0)).alias("__before"))
-    inner = Window.partitionBy("__range").orderBy(order, *ties)
-    return rows.join(ranges, "__range").withColumn(name, F.col("__before") + F.row_number().over(inner)).drop("__range", "__before")
+    inner = Window.partitionBy("__range").orderBy(F.col(order).asc_nulls_last(), *ties)
+    return _same(rows, ranges, ["__range"]).withColumn(name, F.col("__before") + F.row_number().over(inner)).drop("__range", "__before")

@@ -1,7 +1,8 @@
 """Lineage cuts that survive lost executors.
 
 Every cut is a Parquet table in the shared folder named by ``spark.checkpoint.dir``. A folder is made only where the
-session names none (tests, local runs).
+session names none and runs in one process (tests, local runs); on a cluster that is an error, as executors would write to
+folders of their own.
 """
 
 from __future__ import annotations
@@ -18,6 +19,9 @@ def shared_dir(spark: SparkSession) -> str:
     """The shared folder of the session."""
     found = spark.conf.get(KEY, None) or spark.sparkContext.getConf().get(KEY)
     if not found:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError(f"{KEY} names no shared folder for {master}")
         found = "file://" + tempfile.mkdtemp(prefix="roomflux-")
         spark.conf.set(KEY, found)
     return found.rstrip("/")

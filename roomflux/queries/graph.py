@@ -63,12 +63,84 @@ def largest_component(spark, sf_dir):
     return G.largest_component(c, grid_edges(c).where("w = 1"))
 
 
-@register()
+@register(f"WITH RECURSIVE {CELLS_SQL}, {edges_sql()}, {dist_sql('edges', 'dist')} SELECT * FROM dist")
+def shortest_path_rounds(spark, sf_dir):
+    """As ``shortest_path``, by the distributed rounds that large graphs take."""
+    c = grid_cells(spark, sf_dir)
+    return G.shortest_paths(grid_edges(c), start(c), small=0)
+
+
+@register(f"WITH RECURSIVE {COMPONENTS_SQL} SELECT * FROM comp")
+def connected_components_rounds(spark, sf_dir):
+    """As ``connected_components``, by the distributed rounds that large graphs take."""
+    c = grid_cells(spark, sf_dir)
+    return G.components(c, grid_edges(c).where("w = 1"), small=0)
+
+
+def parents_sql(edges: str) -> str:
+    """First-in first-out search in SQL: depths first, then level by level the places in the queue."""
+    return f"""WITH RECURSIVE {CELLS_SQL}, {edges_sql()}, own AS ({edges}),
+reach AS (SELECT node, 0 AS depth FROM cells WHERE i = 0 AND j = 0 UNION SELECT o.b, r.depth + 1 FROM reach r JOIN own o ON o.a = r.node WHERE r.depth < {BOUND}),
+depths AS (SELECT node, min(depth) AS depth FROM reach GROUP BY 1),
+queue AS (SELECT node, CAST(NULL AS BIGINT) AS parent, 0 AS depth, row_number() OVER (ORDER BY node) AS place FROM depths WHERE depth = 0
+  UNION ALL SELECT node, parent, depth, row_number() OVER (ORDER BY p, node) AS place FROM (
+    SELECT o.b AS node, arg_min(q.node, q.place) AS parent, d.depth, min(q.place) AS p FROM queue q JOIN own o ON o.a = q.node JOIN depths d ON d.node = o.b AND d.depth = q.depth + 1 GROUP BY o.b, d.depth))
+SELECT node, parent, CAST(depth AS INT) AS depth FROM queue"""
+
+
+@register(parents_sql("SELECT DISTINCT a, b FROM edges"))
 def bfs_parent(spark, sf_dir):
     c = grid_cells(spark, sf_dir)
     return G.bfs_parents(grid_edges(c), c.where("i = 0 and j = 0").select("node"))
 
 
+@register(parents_sql("SELECT DISTINCT a, b FROM edges"))
+def bfs_parent_rounds(spark, sf_dir):
+    """As ``bfs_parent``, by the distributed rounds that large graphs take."""
+    c = grid_cells(spark, sf_dir)
+    return G.bfs_parents(grid_edges(c), c.where("i = 0 and j = 0").select("node"), small=0)
+
+
+@register(parents_sql("SELECT DISTINCT a, b FROM edges WHERE a NOT IN (SELECT node FROM cells WHERE (i + 2 * j) % 5 = 3)"))
+def via_parent(spark, sf_dir):
+    """The room through which each is reached; ambiguous rooms are reached but lead nowhere."""
+    c = grid_cells(spark, sf_dir)
+    return G.bfs_parents(grid_edges(c), c.where("i = 0 and j = 0").select("node"), closed=c.where("(i + 2 * j) % 5 = 3"))
+
+
+PATH_SQL = f"""WITH RECURSIVE {CELLS_SQL}, {edges_sql()}, {dist_sql('edges', 'dist')}, target AS (SELECT arg_max(node, dist * 100000000 - node) AS node FROM dist),
+up AS (SELECT e.b AS node, min(e.a) AS up FROM edges e JOIN dist x ON x.node = e.a JOIN dist y ON y.node = e.b WHERE x.dist + e.w = y.dist GROUP BY 1),
+path AS (SELECT node FROM target UNION SELECT up.up FROM path JOIN up USING (node))"""
+
+
+def farthest(dist):
+    """The node that is farthest away; of equals the least. One row."""
+    return dist.agg(F.max_by("node", F.struct("dist", -F.col("node")))).collect()[0][0]
+
+
+def long_route(spark, sf_dir):
+    """The route from the start to the farthest cell, with its points."""
+    c = grid_cells(spark, sf_dir)
+    edges, first = grid_edges(c), start(c)
+    target = farthest(G.shortest_paths(edges, first))
+    return G.route(edges, first, first if target is None else target).join(c, "node").select("node", "dist", "level", "i", "j")
+
+
+@register(f"{PATH_SQL} SELECT node, dist, level, i, j FROM path JOIN dist USING (node) JOIN cells USING (node)")
+def route_points(spark, sf_dir):
+    return long_route(spark, sf_dir)
+
+
+@register(f"""{PATH_SQL}, p AS (SELECT 0 AS route, dist, level, i * 0.45 AS x, j * 0.45 AS y FROM path JOIN dist USING (node) JOIN cells USING (node)),
+m AS (SELECT *, lag(level) OVER w AS was, x - lag(x) OVER w AS dx, y - lag(y) OVER w AS dy FROM p WINDOW w AS (ORDER BY dist)),
+s AS (SELECT *, sum(CASE WHEN was = level THEN 0 ELSE 1 END) OVER (ORDER BY dist ROWS UNBOUNDED PRECEDING) AS segment FROM m)
+SELECT route, CAST(segment AS BIGINT) AS segment, min(level) AS level, count(*) AS points, round(sum(CASE WHEN was = level THEN sqrt(dx * dx + dy * dy) ELSE 0.0 END), 4) AS length, CAST(sum(CASE WHEN was <> level THEN abs(level - was) ELSE 0 END) AS BIGINT) AS climb FROM s GROUP BY route, segment""")
+def route_steps(spark, sf_dir):
+    """The steps of that route: its runs on one level, and the levels climbed before each."""
+    path = long_route(spark, sf_dir).select(F.lit(0).alias("route"), "level", (F.col("i") * 0.45).alias("x"), (F.col("j") * 0.45).alias("y"), "dist")
+    return G.route_segments(path, "route", "dist")
+
+
 @register(f"""WITH RECURSIVE {CELLS_SQL}, p AS (SELECT i AS route, level, j, i * 0.45 AS x, j * 0.45 AS y, row_number() OVER (PARTITION BY i ORDER BY j, level) AS k FROM cells),
 m AS (SELECT *, lag(level) OVER w AS was, x - lag(x) OVER w AS dx, y - lag(y) OVER w AS dy FROM p WINDOW w AS (PARTITION BY route ORDER BY k)),
 s AS (SELECT *, sum(CASE WHEN was = level THEN 0 ELSE 1 END) OVER (PARTITION BY route ORDER BY k ROWS UNBOUNDED PRECEDING) AS segment FROM m)
@@ -100,13 +172,8 @@ def chain_path(spark, sf_dir):
   SELECT k, via, 1 AS depth FROM n UNION ALL SELECT w.k, n.via, w.depth + 1 FROM walk w JOIN n ON n.k = w.via WHERE w.depth < 30)
 SELECT k, max(CASE WHEN k = via THEN 1 ELSE 0 END) AS cyclic, min(CASE WHEN k = via THEN depth END) AS cycle FROM walk GROUP BY k""")
 def chain_cycles(spark, sf_dir):
-    """Whether following ``via`` comes back to its start, and after how many steps; by doubling the map of steps."""
     n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("k"), ((F.col("n_nationkey") * 7 + 3) % 25).alias("via"))
-    n.createOrReplaceTempView("roomflux_via")
-    walk = spark.sql("""WITH RECURSIVE walk(k, via, depth) AS (SELECT k, via, 1 FROM roomflux_via
-      UNION ALL SELECT w.k, n.via, w.depth + 1 FROM walk w JOIN roomflux_via n ON n.k = w.via WHERE w.depth < 30) SELECT * FROM walk""")
-    back = F.col("k") == F.col("via")
-    return walk.groupBy("k").agg(F.max(F.when(back, 1).otherwise(0)).alias("cyclic"), F.min(F.when(back, F.col("depth"))).alias("cycle"))
+    return G.cycles(n)
 
 
 @register(f"""WITH {CELLS_SQL}, d AS (SELECT a.level, a.node, b.i AS room, (a.i - b.i * 2) * (a.i - b.i * 2) + (a.j - 3) * (a.j - 3) AS d2 FROM cells a JOIN (SELECT range AS i FROM range(8)) b ON abs(a.i - b.i * 2) <= 1)

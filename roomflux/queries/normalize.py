@@ -65,10 +65,10 @@ def minutes_of_day(spark, sf_dir):
     return e.select("event_id", N.minutes_of_day(F.date_format("ts", "HH:mm:ss")).alias("minutes"), N.minutes_of_day(F.lit("noon")).alias("odd"))
 
 
-@register("""SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'F' || lpad(CAST(p_size AS VARCHAR), 2, '0') WHEN 1 THEN CAST(p_size % 9 AS VARCHAR) || '.' || lpad(CAST(p_size AS VARCHAR), 2, '0') || 'a' WHEN 2 THEN 'AUDMAX' END AS number FROM part""")
+@register("""SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'F' || lpad(CAST(p_size AS VARCHAR), 2, '0') WHEN 1 THEN CAST(p_size % 9 AS VARCHAR) || '.' || lpad(CAST(p_size AS VARCHAR), 2, '0') || 'a' WHEN 2 THEN 'Audmax' END AS number FROM part WHERE p_partkey % 8 <> 4 UNION ALL SELECT p_partkey, NULL FROM part WHERE p_partkey % 8 = 4""")
 def normalize_number(spark, sf_dir):
     two = F.lpad(F.col("p_size").cast("string"), 2, "0")
-    raw = F.when(F.col("p_partkey") % 4 == 0, F.concat(F.lit(" f"), two)).when(F.col("p_partkey") % 4 == 1, F.concat((F.col("p_size") % 9).cast("string"), two, F.lit(" A"))).when(F.col("p_partkey") % 4 == 2, F.concat(F.lit("audmax 1."), two)).otherwise(F.lit("<none>"))
+    raw = F.when(F.col("p_partkey") % 8 == 4, F.concat(F.lit("f"), two)).when(F.col("p_partkey") % 4 == 0, F.concat(F.lit(" F"), two)).when(F.col("p_partkey") % 4 == 1, F.concat((F.col("p_size") % 9).cast("string"), two, F.lit(" A"))).when(F.col("p_partkey") % 4 == 2, F.concat(F.lit("audmax 1."), two)).otherwise(F.lit("<none>"))
     return table(spark, sf_dir, "part").select("p_partkey", N.door_number(raw).alias("number"))
 
 
@@ -152,15 +152,22 @@ def name_tokens(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", term.alias("term"), F.regexp_extract(f, "-([A-Z]{2,5})-kurzus", 1).alias("faculty"))
 
 
-@register(r"SELECT doc_id, md5(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS squashed, length(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS n FROM documents")
+SPACES = r"[\t\n\x0b\f\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+
+
+@register(f"SELECT doc_id, md5(x) AS squashed, length(x) AS n FROM (SELECT doc_id, trim(regexp_replace(replace(text, '. ', '.' || chr(160) || ' '), '{SPACES}', ' ', 'g')) AS x FROM documents)")
 def normalize_text(spark, sf_dir):
-    own = N.squash(F.col("text"))
+    own = N.squash(F.replace(F.col("text"), F.lit(". "), F.lit(".\u00a0 ")))
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(own.cast("binary")).alias("squashed"), F.length(own).cast("long").alias("n"))
 
 
+#: First rule that a name meets.
+ICONS = [("red", "lift"), ("small", "accessible"), ("ring$", "female"), ("widget$", "male"), ("blue", "wc")]
+
+
 @register("""SELECT p_partkey, CASE WHEN p_name LIKE '%red%' THEN 'lift' WHEN p_name LIKE '%small%' THEN 'accessible' WHEN p_name LIKE '%ring' THEN 'female' WHEN p_name LIKE '%widget' THEN 'male' WHEN p_name LIKE '%blue%' THEN 'wc' END AS icon FROM part""")
 def icon_rules(spark, sf_dir):
-    return table(spark, sf_dir, "part").select("p_partkey", N.icons(F.col("p_name")).alias("icon"))
+    return table(spark, sf_dir, "part").select("p_partkey", N.icon(F.col("p_name"), ICONS).alias("icon"))
 
 
 @register("""WITH paired AS (SELECT p_partkey, p_brand AS number FROM part WHERE p_size < 10) SELECT p.p_partkey, CASE WHEN number IS NOT NULL THEN number

@@ -10,9 +10,13 @@ from roomflux.registry import register
 from roomflux.tables import table
 
 
+#: Event ids to a block.
+IDS = 1 << 16
+
+
 def events(spark, sf_dir):
-    """Events with the day as block: a user's rows of one day are a bounded group."""
-    return table(spark, sf_dir, "events").withColumn("block", F.to_date("ts"))
+    """Events with blocks that grow with an order: ``block``, the day, with (ts, event_id), and ``ids`` with event_id."""
+    return table(spark, sf_dir, "events").withColumn("block", F.to_date("ts")).withColumn("ids", F.floor(F.col("event_id") / IDS))
 
 
 @register("SELECT * FROM (SELECT conv_id, turn, role, lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS next_value FROM conversations) WHERE next_value IS NOT NULL")
@@ -24,12 +28,12 @@ def consecutive_pairs(spark, sf_dir):
 r AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS run FROM m)
 SELECT user_id, CAST(run AS BIGINT) AS run, min(event_type) AS value, count(*) AS steps, CAST(min(place) AS INT) AS first_place, CAST(max(place) AS INT) AS last_place FROM r GROUP BY user_id, run""")
 def merge_runs(spark, sf_dir):
-    return Q.runs(events(spark, sf_dir), ["user_id"], ["event_id"], "event_type", "block")
+    return Q.runs(events(spark, sf_dir), ["user_id"], ["event_id"], "event_type", "ids")
 
 
 @register("SELECT user_id, count(*) FILTER (event_type <> was) AS changes FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS was FROM events) GROUP BY 1")
 def transition_count(spark, sf_dir):
-    return Q.transitions(events(spark, sf_dir), "user_id", ["event_id"], "event_type", "block")
+    return Q.transitions(events(spark, sf_dir), "user_id", ["event_id"], "event_type", "ids")
 
 
 @register("""WITH s AS (SELECT user_id, event_id, value > 50 AS on_, row_number() OVER w AS step FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
@@ -59,7 +63,7 @@ def idle_sessions(spark, sf_dir):
 
 @register("""SELECT event_id, coalesce(last_value(CASE WHEN value >= 60 THEN 1 WHEN value <= 10 THEN 0 END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING), 0) AS state FROM events""")
 def hysteresis(spark, sf_dir):
-    return Q.hysteresis(events(spark, sf_dir), "user_id", ["event_id"], "value", 10.0, 60.0, "block").select("event_id", "state")
+    return Q.hysteresis(events(spark, sf_dir), "user_id", ["event_id"], "value", 10.0, 60.0, "ids").select("event_id", "state")
 
 
 DECIDED = "CASE WHEN value > 80 THEN 'rotate' WHEN event_type = 'purchase' THEN 'tilt' WHEN event_type = 'signup' THEN 'zoom' END"
@@ -83,7 +87,7 @@ def frame_pairing(spark, sf_dir):
 
 @register("SELECT event_id, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS back FROM events")
 def history_back(spark, sf_dir):
-    return Q.history_back(events(spark, sf_dir), "user_id", ["event_id"], "event_type", "block").select("event_id", "back")
+    return Q.history_back(events(spark, sf_dir), "user_id", ["event_id"], "event_type", "ids").select("event_id", "back")
 
 
 @register("""SELECT event_type, count(*) AS n, round(median(value), 6) AS median, quantile_disc(value, 0.5) AS lower_median FROM events GROUP BY 1""")

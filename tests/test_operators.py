@@ -2,7 +2,7 @@
 
 import itertools
 import random
-from collections import deque
+from collections import Counter, deque
 
 import pytest
 from pyspark.sql import functions as F
@@ -15,6 +15,7 @@ from roomflux.operators import sequence as Q
 from roomflux.operators import spatial as P
 from roomflux.plans.blocks import with_last_known, with_numbers, with_previous, with_running_sum
 from roomflux.plans.components import connected_components
+from roomflux.sources import documents as D
 
 
 @pytest.fixture(scope="module")
@@ -59,7 +60,7 @@ def one(spark, column):
     return spark.range(1).select(column.alias("x")).first()["x"]
 
 
-@pytest.mark.parametrize("raw, want", [(" f08 ", "F08"), ("110", "1.10"), ("2.10", "2.10"), ("216 A", "2.16a"), ("AUDMAX 1.32", "AUDMAX"), ("kazan", None), ("", None), (None, None)])
+@pytest.mark.parametrize("raw, want", [(" F08 ", "F08"), ("f08", None), ("110", "1.10"), ("2.10", "2.10"), ("216 A", "2.16a"), ("audmax 1.32", "Audmax"), ("kazan", None), ("", None), (None, None)])
 def test_door_number(spark, raw, want):
     assert one(spark, N.door_number(F.lit(raw).cast("string"))) == want
 
@@ -252,3 +253,84 @@ def test_components_raise_at_the_bound(spark):
     edges = spark.createDataFrame([(a, a + 1) for a in range(50)], "a int, b int")
     with pytest.raises(RuntimeError):
         connected_components(edges, 1)
+
+
+def test_door_number_overrides(spark):
+    assert one(spark, N.door_number(F.lit("117 A"), {"1.17a": "1.17"})) == "1.17"
+    assert one(spark, N.door_number(F.lit("118"), {"1.17a": "1.17"})) == "1.18"
+
+
+def test_white_space_of_all_kinds(spark):
+    assert one(spark, N.squash(F.lit("\u00a0a\u2003 \tb\u00a0"))) == "a b"
+
+
+@pytest.mark.parametrize("raw, want", [("&aacute;&#225;&#xE1;", "ááá"), ("&amp;lt; &bogus; &", "&lt; &bogus; &"), ("&#128512;&apos;&quot;", "😀'\""), ("plain", "plain"), ("", ""), (None, None), ("&#0;&#xD800;", "\ufffd\ufffd")])
+def test_unescape(spark, raw, want):
+    assert one(spark, N.unescape(F.lit(raw).cast("string"))) == want
+
+
+@pytest.mark.parametrize("url, want", [("x#A1", ("A1", None, None, None)), ("x#from=A&to=B&via=lift?utm=1", (None, "A", "B", "lift")), ("x", (None,) * 4), ("x?q=1#", (None,) * 4), (None, (None,) * 4), ("x#to=B&x=1", (None, None, "B", None))])
+def test_url_state(spark, url, want):
+    assert tuple(spark.range(1).select(*(c.alias(f"c{k}") for k, c in enumerate(N.url_state(F.lit(url).cast("string"))))).first()) == want
+
+
+def test_blocks_keep_null_groups_and_blocks(spark):
+    """Null keys are a group, null orders come first, and a late event lies in the block of its own order."""
+    rows = [(g, o, v) for g in (None, 1) for o, v in ((None, "a"), (1, "a"), (5, "b"), (9, "b"), (12, "a"))]
+    df = spark.createDataFrame(rows, "g int, o int, v string").withColumn("block", F.floor(F.col("o") / 4))
+    back = {(r["g"], r["o"]): r["back"] for r in Q.history_back(df, "g", ["o"], "v", "block").collect()}
+    assert back == {(g, o): b for g in (None, 1) for o, b in ((None, None), (1, "a"), (5, "a"), (9, "b"), (12, "b"))}
+    assert {r["g"]: r["changes"] for r in Q.transitions(df, "g", ["o"], "v", "block").collect()} == {None: 2, 1: 2}
+    assert Counter(r["g"] for r in Q.runs(df, ["g"], ["o"], "v", "block").collect()) == {None: 3, 1: 3}
+    assert Q.hysteresis(df.withColumn("x", F.col("o")), "g", ["o"], "x", 2, 8, "block").count() == len(rows)
+    numbered = with_numbers(df, "o", 4, ["g"], "n").collect()
+    assert sorted(r["n"] for r in numbered) == list(range(1, 11)) and {r["n"] for r in numbered if r["o"] is None} == {9, 10}
+
+
+@pytest.mark.parametrize("small", [0, 1000])
+def test_null_edges_and_isolated_nodes(spark, small):
+    edges = spark.createDataFrame([(1, 2, 1.0), (2, 1, 1.0), (None, 2, 1.0), (2, None, 1.0), (3, 4, None), (2, 7, 2.0)], "a long, b long, w double")
+    nodes = spark.createDataFrame([(k,) for k in (1, 2, 7, 8)], "node long")
+    assert {r["node"]: r["label"] for r in G.components(nodes, edges, small).collect()} == {1: 1, 2: 1, 7: 1, 8: 8}
+    assert {r["node"]: r["dist"] for r in G.shortest_paths(edges, 1, small).collect()} == {1: 0.0, 2: 1.0, 7: 3.0}
+    sources = spark.createDataFrame([(1,), (None,)], "node long")
+    assert {r["node"]: r["parent"] for r in G.bfs_parents(edges, sources, small).collect()} == {1: None, 2: 1, 7: 2}
+    closed = spark.createDataFrame([(2,)], "node long")
+    assert {r["node"] for r in G.bfs_parents(edges, sources, small, closed).collect()} == {1, 2}
+    assert {r["node"] for r in G.route(edges, 1, 7, small).collect()} == {1, 2, 7}
+    assert G.route(edges, 1, 8, small).count() == 0
+
+
+def test_cycles_of_any_length(spark):
+    rows = [(k, (k + 1) % 70) for k in range(70)] + [(100, 5), (101, 100), (200, 200), (300, None), (301, 300), (None, 1)]
+    got = {r["k"]: (r["cyclic"], r["cycle"]) for r in G.cycles(spark.createDataFrame(rows, "k long, via long")).collect()}
+    assert got == {k: (1, 70) for k in range(70)} | {100: (0, None), 101: (0, None), 200: (1, 1), 300: (0, None), 301: (0, None), None: (0, None)}
+
+
+def test_documents_of_an_old_format_are_read_elsewhere(spark, tmp_path):
+    D.write_documents(spark.createDataFrame([(1, "x")], "old int, name string"), str(tmp_path / "old"))
+    D.write_documents(spark.createDataFrame([(2, None)], "rooms int, name string"), str(tmp_path / "new"))
+    paths = [str(tmp_path / "old"), str(tmp_path / "new")]
+    assert [tuple(r) for r in D.read_current(spark, paths, "rooms int, name string", ["rooms"]).collect()] == [(2, None)]
+    with pytest.raises(ValueError):
+        D.read_current(spark, paths[:1], "rooms int", ["rooms"])
+    (tmp_path / "list.json").write_text('[{"a": 1},\n {"b": 2}]')
+    assert [tuple(r) for r in D.read_documents(spark, str(tmp_path / "list.json"), "a int, b int", whole=True).collect()] == [(1, None), (None, 2)]
+    assert [r["name"] for r in D.listing(spark, str(tmp_path), "list").collect()] == ["list.json"]
+
+
+def test_cluster_needs_a_shared_folder():
+    from roomflux.plans import lineage
+
+    class Held:
+        master = "spark://host:7077"
+        sparkContext = conf = property(lambda self: self)
+
+        def get(self, key, default=None):
+            return default
+
+        def getConf(self):
+            return self
+
+    with pytest.raises(RuntimeError):
+        lineage.shared_dir(Held())
