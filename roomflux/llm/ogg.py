@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from roomflux.llm.batches import bounded, slices
+
 RATE = 8000
 PACKET = 4000
 SEGMENTS = 255
@@ -131,13 +133,11 @@ def encode(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, media (binary) of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for at in range(0, b.num_rows, 256):  # small batches: media is as large as the text
-                s = b.slice(at, 256)
-                made = [payload_of(t.as_py()) for t in s.column("text")]
-                yield pa.RecordBatch.from_arrays([s.column("doc_id").cast(pa.int64()), pa.array([n for _, n in made], pa.int64()), pa.array([mux(p) for p, _ in made], pa.binary())], names=["doc_id", "n_bytes", "media"])
+        for s in slices(batches):  # small batches: media is as large as the text
+            made = [payload_of(t.as_py()) for t in s.column("text")]
+            yield pa.RecordBatch.from_arrays([s.column("doc_id").cast(pa.int64()), pa.array([n for _, n in made], pa.int64()), pa.array([mux(p) for p, _ in made], pa.binary())], names=["doc_id", "n_bytes", "media"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_bytes long, media binary")
+    return bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
 
 def decode(media: DataFrame) -> DataFrame:

@@ -21,6 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from roomflux.llm.batches import bounded, slices
 from roomflux.plans.lineage import materialize
 
 EOS = 2
@@ -71,7 +72,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, seen, part = TextEncoder(tokenizer), [0] * (capacity + 1), TaskContext.get().partitionId()
-        for b in (whole.slice(at, 256) for whole in batches for at in range(0, whole.num_rows, 256)):
+        for b in slices(batches):
             rows = []
             for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text"), strict=True):
                 ids = encoder.encode(text.as_py() or "") + EOS.to_bytes(4, "little")
@@ -86,7 +87,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFra
                 kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32", "part", "nth"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, PIECES)
+    return bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, PIECES)
 
 
 def best_fit(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int]]:

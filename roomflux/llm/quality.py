@@ -15,7 +15,8 @@ from operator import eq
 import numpy as np
 from pyspark.sql import DataFrame
 
-from roomflux.llm.textmodel import ROWS, fitted, scored, word_hash
+from roomflux.llm.batches import bounded, slices
+from roomflux.llm.textmodel import fitted, scored, word_hash
 
 BITS = 16
 BUCKETS = 1 << BITS
@@ -193,9 +194,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, limit: int = LIMIT, threshold:
 
     def run(batches):
         score = Scorer(odds)
-        for whole in batches:
-            place = whole.schema.get_field_index("text")
-            for b in (whole.slice(at, ROWS) for at in range(0, whole.num_rows, ROWS)):
-                yield b.filter(pa.array(score([t.as_py() or "" for t in b.column(place)]) >= threshold))
+        for b in slices(batches):
+            yield b.filter(pa.array(score([t.as_py() or "" for t in b.column("text")]) >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return bounded(docs).mapInArrow(run, docs.schema)

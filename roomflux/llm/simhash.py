@@ -21,6 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from roomflux.llm.batches import bounded, slices
 from roomflux.llm.spans import likely
 from roomflux.plans.components import connected_components
 from roomflux.plans.lineage import materialize, release
@@ -71,12 +72,12 @@ def fingerprints(docs: DataFrame, words: int = 3, n_words: int = 1) -> DataFrame
     """``doc_id``, ``text_hash`` and ``fingerprint`` (lowercase hex, 16 digits a word) of each row's whole ``text``; other columns are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             made = ["".join(f"{x:016x}" for x in fingerprint(shingle_hashes(t.as_py(), words), n_words).tolist()) for t in b.column("text")]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_hash"), pa.array(made, pa.string())], names=["doc_id", "text_hash", "fingerprint"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.select("doc_id", _text_hash().alias("text_hash"), "text").mapInArrow(run, "doc_id long, text_hash long, fingerprint string")
+    return bounded(rows).select("doc_id", _text_hash().alias("text_hash"), "text").mapInArrow(run, "doc_id long, text_hash long, fingerprint string")
 
 
 def _roots(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
@@ -270,6 +271,8 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFra
 PARITY = 16
 #: Share of tests that must find a link for another turn of stars.
 FRUITFUL = 0.25
+#: Texts whose whole sets one task makes.
+WANTED = 500
 #: Texts that the common shingles are counted in, and how many of them must hold a shingle.
 COUNTED = 4_000
 COMMON = 4
@@ -307,12 +310,12 @@ def common_shingles(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray
     texts = docs.select(F.col("text").cast("string").alias("text"), _text_hash().alias("h")).where(F.pmod("h", F.lit(every)) == 0).dropDuplicates(["h"]).select("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             held = [np.unique(shingle_hashes(t.as_py(), words)) for t in b.column("text")]
             shingles, n = np.unique(np.concatenate([np.empty(0, np.uint64), *held]), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(shingles.view(np.int64)), pa.array(n)], names=["shingle", "n"])
 
-    found = texts.mapInArrow(run, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON).toArrow()
+    found = bounded(texts).mapInArrow(run, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON).toArrow()
     shingles, n = found.column("shingle").to_numpy().astype(np.int64).view(np.uint64), found.column("n").to_numpy().astype(np.int64)
     order = np.argsort(shingles)
     return shingles[order], n[order]
@@ -326,7 +329,7 @@ def shingle_sets(docs: DataFrame, words: int, similarity: float, common: tuple[n
     common, held_by = common or common_shingles(docs, words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in (whole.slice(at, 256) for whole in batches for at in range(0, whole.num_rows, 256)):
+        for b in slices(batches):
             sets, keys, prefix, prints, sketches = [], [], [], [], []
             for t in b.column("text"):
                 own = np.unique(shingle_hashes(t.as_py(), words))
@@ -343,7 +346,7 @@ def shingle_sets(docs: DataFrame, words: int, similarity: float, common: tuple[n
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_hash", "set", "shingles", "n", "prefix", "fingerprint", "sketch"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _text_hash().alias("text_hash"), F.col("text").cast("string").alias("text"))
-    made = rows.mapInArrow(run, "doc_id long, text_hash long, set long, shingles array<long>, n int, prefix int, fingerprint string, sketch array<long>")
+    made = bounded(rows).mapInArrow(run, "doc_id long, text_hash long, set long, shingles array<long>, n int, prefix int, fingerprint string, sketch array<long>")
     return made.select(F.struct("doc_id", "text_hash").alias("row"), "set", "shingles", "n", "prefix", "fingerprint", "sketch")
 
 
@@ -445,7 +448,8 @@ def near_duplicate_groups(docs: DataFrame, words: int = 5, similarity: float = 0
         """``set``, ``shingles`` of the named sets, from one row of each."""
         one = materialize(of.join(named, "set", "left_semi").groupBy("set").agg(F.min("row").alias("row")).select("row.*").toDF("__id", "__hash"), "wanted")
         texts = likely(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), _text_hash().alias("__text")), "__text", one.select("__hash")).where("likely")
-        texts = texts.join(one, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__hash")), "left_semi").dropDuplicates(["doc_id", "__text"])
+        # So many parts that none holds more than about WANTED texts, which may all be long ones.
+        texts = texts.join(one, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__hash")), "left_semi").dropDuplicates(["doc_id", "__text"]).repartition(one.count() // WANTED + 1, "__text")
         return shingle_sets(texts, words, similarity, common).select("set", "shingles").dropDuplicates(["set"])
 
     labels = materialize(alike_classes(made, whole, similarity, radius), "labels")

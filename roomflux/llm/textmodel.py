@@ -11,9 +11,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from roomflux.llm.batches import bounded, slices
+
 FOLDS = 5
-#: Texts that a worker has as strings at a time.
-ROWS = 256
 #: Characters of the labelled texts that training takes at most.
 CHARS = 64_000_000
 
@@ -45,7 +45,7 @@ def fitted(docs: DataFrame, labels: DataFrame, label: str, limit: int, train: Ca
                     y.append(one)
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train(texts, np.array(y, np.float64)))], pa.binary())], names=["model"])
 
-    made = found.coalesce(1).mapInArrow(run, "model binary").collect()
+    made = bounded(found).coalesce(1).mapInArrow(run, "model binary").collect()
     return pickle.loads(made[0]["model"]) if made else train([], np.zeros(0))
 
 
@@ -58,10 +58,8 @@ def scored(docs: DataFrame, make: Callable[[], Callable[[list[str]], np.ndarray]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = make()
-        for b in batches:
-            for at in range(0, b.num_rows, ROWS):
-                s = b.slice(at, ROWS)
-                yield pa.RecordBatch.from_arrays([s.column("doc_id"), s.column("held_out"), pa.array(score([t.as_py() or "" for t in s.column("text")]), pa.float64())], names=["doc_id", "held_out", "score"])
+        for s in slices(batches):
+            yield pa.RecordBatch.from_arrays([s.column("doc_id"), s.column("held_out"), pa.array(score([t.as_py() or "" for t in s.column("text")]), pa.float64())], names=["doc_id", "held_out", "score"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("held_out", F.coalesce(held_out("doc_id"), F.lit(False)))
-    return rows.select("doc_id", "held_out", "text").mapInArrow(run, "doc_id long, held_out boolean, score double").withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    return bounded(rows).select("doc_id", "held_out", "text").mapInArrow(run, "doc_id long, held_out boolean, score double").withColumn("predicted", (F.col("score") >= threshold).cast("int"))

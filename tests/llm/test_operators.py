@@ -6,11 +6,12 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from roomflux.llm import fingerprints, mixing, ogg, packing, pii, quality, secrets, simhash, spans, toxicity, url_lists
+from roomflux.llm import batches, fingerprints, mixing, ogg, packing, pii, quality, secrets, simhash, spans, toxicity, url_lists
 from roomflux.llm.queries import tokenizer_path
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, k1 string, fingerprint string, size int, kind string"
@@ -643,3 +644,12 @@ def test_secrets_of_copies_and_of_other_rules(spark):
     own = (secrets.Rule("name", "ba[nr]{2}[0-9]+", 0, True), secrets.Rule("any", "[0-9]{4}", 0, True))
     rows = spark.createDataFrame([(1, "x bann12 2024"), (2, "BANN1 ban")], "doc_id long, text string")
     assert {r["doc_id"]: [tuple(s) for s in r["spans"]] for r in secrets.find(rows, own).collect()} == {1: [("name", 2, 8), ("any", 9, 13)], 2: []}
+
+
+def test_slices_are_bounded_and_whole():
+    texts = ["x" * n for n in (3, batches.BYTES - 1, 0, 2, 3 * batches.BYTES, 1)] + [None] + ["y"] * 600
+    b = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts, pa.string())], names=["id", "text"])
+    parts = list(batches.slices(iter([b, b.slice(0, 0)])))
+    assert [x for p in parts for x in p.column("id").to_pylist()] == list(range(len(texts)))
+    assert all(0 < p.num_rows <= batches.ROWS for p in parts)
+    assert all(p.num_rows == 1 or sum(len(t or "") for t in p.column("text").to_pylist()) <= batches.BYTES for p in parts)
