@@ -269,8 +269,8 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFra
 
 #: Longs of the parity sketch of a shingle set, at least; a shingle toggles one bit.
 PARITY = 16
-#: Share of tests that must find a link for another turn of stars.
-FRUITFUL = 0.25
+#: Turns in which other sets take the place of the least one of a shingle; the result does not depend on it.
+TURNS = 2
 #: Texts whose whole sets one task makes.
 WANTED = 500
 #: Texts that the common shingles are counted in, and how many of them must hold a shingle.
@@ -376,13 +376,14 @@ def alike_classes(sets: DataFrame, whole, similarity: float, radius: int = 3) ->
     Exact: every pair of sets of Jaccard ``similarity`` is linked or in one class already, and no other pair is. The trie
     self-join of fingerprints and the least set of each prefix shingle propose the first candidates; they join large families
     by a number of tests in proportion to their size. Where classes still share a shingle, other sets of it take the place of
-    the least, turn by turn, as long as a share ``FRUITFUL`` of the tests finds a link. Of the pairs that share a prefix
+    the least for ``TURNS`` turns, which leaves few pairs of large families apart. Of the pairs that share a prefix
     shingle, those that then still differ in class are tested pair by pair. Pairs are tested on whole sets unless lengths or
     sketches show that too many members differ.
     """
     postings = sets.select("set", F.explode("shingles").alias("shingle"))
     hubs = postings.groupBy("shingle").agg(F.min("set").alias("a"), F.max("set").alias("z")).where("a <> z").select("shingle", "a")
-    shared = materialize(postings.join(hubs, "shingle").distinct(), "shared")
+    # Tables by shingle grow with the input, so none of them is broadcast, however small.
+    shared = materialize(postings.join(hubs.hint("merge"), "shingle").distinct(), "shared")
     narrow = materialize(sets.drop("row", "shingles", "fingerprint").dropDuplicates(["set"]), "narrow")
     slack = (1 - similarity) / (1 + similarity)
 
@@ -391,37 +392,31 @@ def alike_classes(sets: DataFrame, whole, similarity: float, radius: int = 3) ->
         room = slack * (F.col(f"{x}.n") + F.col(f"{y}.n")) + 1e-6
         return (F.abs(F.col(f"{x}.n") - F.col(f"{y}.n")) <= room) & (sketch_distance(F.col(f"{x}.sketch"), F.col(f"{y}.sketch")) <= room)
 
-    def tested(pairs: DataFrame) -> tuple[DataFrame, int]:
-        """Of ``pairs``, those that are alike, and how many had to be tested."""
+    def tested(pairs: DataFrame) -> DataFrame:
+        """Those of ``pairs`` that are alike."""
         own = pairs.join(narrow.alias("x"), F.col("a") == F.col("x.set")).join(narrow.alias("y"), F.col("b") == F.col("y.set")).where(possible("x", "y")).select("a", "b")
         own = materialize(own, "pairs")
         found = _alike(own, whole, similarity)
-        n = own.count()
         release(own)
-        return found, n
+        return found
 
     def undone(linked: DataFrame) -> DataFrame:
         """``set``, ``shingle``, ``label`` where sets of several classes share a prefix shingle."""
         left = materialize(shared.select("set", "shingle").join(connected_components(linked).toDF("set", "label"), "set", "left").withColumn("label", F.coalesce("label", "set")), "left")
         several = left.groupBy("shingle").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("shingle")
-        rest = materialize(left.join(several, "shingle", "left_semi"), "undone")
+        rest = materialize(left.join(several.hint("merge"), "shingle", "left_semi"), "undone")
         release(left)
         return rest
 
-    linked, n = tested(shared.where("a <> set").select("a", F.col("set").alias("b")).unionByName(print_pairs(sets, radius)).distinct())
-    left, turn = undone(linked), 0
-    more = linked.count()
-    while more > FRUITFUL * n:
+    linked = tested(shared.where("a <> set").select("a", F.col("set").alias("b")).unionByName(print_pairs(sets, radius)).distinct())
+    left = undone(linked)
+    for turn in range(1, TURNS + 1):
         # Another set of each shingle is its star now: the least by a hash that changes with the turn.
-        turn += 1
         hubs = left.groupBy("shingle").agg(F.min_by(F.struct("set", "label"), F.struct(F.xxhash64("set", F.lit(turn)), "set")).alias("hub"))
-        pairs = left.join(hubs, "shingle").where("label <> hub.label").select(F.least("set", "hub.set").alias("a"), F.greatest("set", "hub.set").alias("b")).distinct()
-        found, n = tested(pairs)
-        more = found.count()
-        if more:
-            linked = materialize(linked.unionByName(found), "linked")
-            release(left)
-            left = undone(linked)
+        pairs = left.join(hubs.hint("merge"), "shingle").where("label <> hub.label").select(F.least("set", "hub.set").alias("a"), F.greatest("set", "hub.set").alias("b")).distinct()
+        linked = materialize(linked.unionByName(tested(pairs)), "linked")
+        release(left)
+        left = undone(linked)
     full = left.join(narrow, "set")
     x, y = full.alias("x"), full.alias("y")
     rest = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.set") < F.col("y.set")) & (F.col("x.label") != F.col("y.label")) & possible("x", "y"))
