@@ -70,21 +70,16 @@ def overlap_pairs(boxes: DataFrame, size: int, tolerance: float = 0.5, by: str =
     return a.join(b, on).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
 
 
-def greedy_nms(boxes: DataFrame, size: int, by: str = "level") -> DataFrame:
-    """Boxes that stay when larger ones (then lesser ids) suppress those they overlap, in turn.
+def settle(rivals: DataFrame) -> DataFrame | None:
+    """Ids that go when, of each pair (win, lose), the loser goes if its winner stays; None if there are no pairs.
 
-    Rounds over the conflict graph: a box without a stronger undecided rival stays and its rivals go. Each round is written to
-    the shared folder; the number of rounds is the longest chain of ever weaker rivals.
+    In each round every winner without a stronger undecided rival stays and its losers go. Each round is written to the shared
+    folder; the number of rounds is the longest chain of ever weaker rivals.
     """
     from roomflux.plans.lineage import materialize, release
 
-    pairs = overlap_pairs(boxes, size, 0.0, by)
-    area = boxes.select("id", "area")
-    weighed = pairs.join(area.toDF("a", "wa"), "a").join(area.toDF("b", "wb"), "b")
-    stronger = (F.col("wa") > F.col("wb")) | ((F.col("wa") == F.col("wb")) & (F.col("a") < F.col("b")))
-    rivals = materialize(weighed.select(F.when(stronger, F.col("a")).otherwise(F.col("b")).alias("win"), F.when(stronger, F.col("b")).otherwise(F.col("a")).alias("lose")), "rivals")
+    open_ = materialize(rivals.select("win", "lose"), "rivals")
     out = None
-    open_ = rivals
     while open_.limit(1).count():
         losers = open_.select(F.col("lose").alias("win")).distinct()
         top = open_.select("win").distinct().join(losers, "win", "left_anti")
@@ -92,10 +87,19 @@ def greedy_nms(boxes: DataFrame, size: int, by: str = "level") -> DataFrame:
         out = gone if out is None else out.unionByName(gone)
         left = open_.join(gone.withColumnRenamed("id", "lose"), "lose", "left_anti").join(gone.withColumnRenamed("id", "win"), "win", "left_anti").select("win", "lose")
         nxt = materialize(left, "open")
-        if open_ is not rivals:
-            release(open_)
+        release(open_)
         open_ = nxt
-    return boxes if out is None else boxes.join(out, "id", "left_anti")
+    return out
+
+
+def greedy_nms(boxes: DataFrame, size: int, by: str = "level") -> DataFrame:
+    """Boxes that stay when larger ones (then lesser ids) suppress those they overlap, in turn."""
+    pairs = overlap_pairs(boxes, size, 0.0, by)
+    area = boxes.select("id", "area")
+    weighed = pairs.join(area.toDF("a", "wa"), "a").join(area.toDF("b", "wb"), "b")
+    stronger = (F.col("wa") > F.col("wb")) | ((F.col("wa") == F.col("wb")) & (F.col("a") < F.col("b")))
+    gone = settle(weighed.select(F.when(stronger, F.col("a")).otherwise(F.col("b")).alias("win"), F.when(stronger, F.col("b")).otherwise(F.col("a")).alias("lose")))
+    return boxes if gone is None else boxes.join(gone, "id", "left_anti")
 
 
 def facing_pairs(walls: DataFrame, reach: float, overlap: float = 0.3, against: float = -0.94) -> DataFrame:
@@ -160,11 +164,16 @@ def rasterize(regions: DataFrame, res: float) -> DataFrame:
 
 
 def spacing_dedup(df: DataFrame, group: str, order: Column, least: float) -> DataFrame:
-    """Points of each group, in order, that are more than ``least`` from all points kept before: group, kept (array of ids)."""
-    rows = df.groupBy(group).agg(F.array_sort(F.collect_list(F.struct(order.alias("o"), F.col("id"), F.col("x"), F.col("y")))).alias("pts"))
-    none = F.array().cast(rows.schema["pts"].dataType)
-    kept = F.aggregate("pts", none, lambda a, p: F.when(F.exists(a, lambda q: (q["x"] - p["x"]) * (q["x"] - p["x"]) + (q["y"] - p["y"]) * (q["y"] - p["y"]) <= least * least), a).otherwise(F.concat(a, F.array(p))))
-    return rows.select(group, F.posexplode(kept).alias("nth", "p")).select(group, "nth", "p.id")
+    """Points (id, x, y; ids unique) of each group, in order, that are more than ``least`` from all points kept before: group, nth, id.
+
+    Pairs too near come from a bucket join and are settled in rounds; a null group is a group.
+    """
+    rows = df.select("id", "x", "y", F.col(group).alias("__g"), order.alias("__o"))
+    near = within(rows, rows, least).where(F.col("__g").eqNullSafe(F.col("__g_r")) & (F.struct("__o", "id") < F.struct("__o_r", "id_r")))
+    gone = settle(near.select(F.col("id").alias("win"), F.col("id_r").alias("lose")))
+    kept = rows if gone is None else rows.join(gone, "id", "left_anti")
+    place = F.row_number().over(Window.partitionBy("__g").orderBy("__o", "id")) - 1
+    return kept.select(F.col("__g").alias(group), place.alias("nth"), "id")
 
 
 def bezier(x: list[Column], y: list[Column], n: int = 8) -> Column:

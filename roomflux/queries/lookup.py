@@ -109,7 +109,13 @@ def inherit_parent(spark, sf_dir):
     return L.inherit_parent(c, table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("level")), "c_nationkey", "level")
 
 
-@register()
+@register("""WITH RECURSIVE o AS (SELECT s_nationkey AS grp, s_name || ': ' || s_nationkey AS x, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_name || ': ' || s_nationkey) AS r FROM supplier),
+n AS (SELECT grp, max(r) AS n FROM o GROUP BY grp),
+k AS (SELECT grp, CAST(0 AS BIGINT) AS r, CAST([] AS VARCHAR[]) AS lines, '' AS line FROM n
+  UNION ALL SELECT k.grp, o.r, CASE WHEN k.line <> '' AND length(k.line) + 2 + length(x) > 100 THEN list_append(k.lines, k.line) ELSE k.lines END,
+    CASE WHEN k.line <> '' AND length(k.line) + 2 + length(x) <= 100 THEN k.line || ', ' || x ELSE x END FROM k JOIN o ON o.grp = k.grp AND o.r = k.r + 1),
+w AS (SELECT k.grp, list_append(lines, line) AS lines FROM k JOIN n ON n.grp = k.grp AND n.n = k.r), t AS (SELECT grp, lines, unnest(range(len(lines))) AS i FROM w)
+SELECT grp, CAST(i AS INT) AS line_no, lines[i + 1] AS line FROM t""")
 def line_pack(spark, sf_dir):
     s = table(spark, sf_dir, "supplier")
     return L.line_pack(s, F.col("s_nationkey"), F.concat("s_name", F.lit(": "), F.col("s_nationkey").cast("string")), 100)

@@ -59,13 +59,12 @@ def known_terms(spark, sf_dir):
 g AS (SELECT a.id AS a, b.id AS b, a.line, a.x1 AS s, b.x0 AS e FROM s a JOIN s b ON a.line = b.line AND a.id <> b.id AND b.x0 - a.x1 BETWEEN 1 AND 250)
 SELECT a, b, CAST(e - s AS INT) AS gap FROM g WHERE NOT EXISTS (SELECT 1 FROM s k WHERE k.line = g.line AND k.id <> a AND k.id <> b AND k.x0 < g.e AND k.x1 > g.s)""")
 def opening_gaps(spark, sf_dir):
-    """Openings between segments of one line: a gap of allowed width that no third segment blocks."""
+    """Openings between segments of one line: a gap of allowed width that no third segment blocks, so one between the farthest end so far and the next start."""
     s = boxes(spark, sf_dir).select("id", (F.col("level") * 100_000 + F.col("y0")).alias("line"), "x0", "x1")
+    before = Window.partitionBy("line").orderBy("x0", "x1", "id").rowsBetween(Window.unboundedPreceding, -1)
+    free = s.select("line", F.max("x1").over(before).alias("s"), F.col("x0").alias("e")).where((F.col("e") - F.col("s")).between(1, 250))
     a, b = s.select(F.col("id").alias("a"), "line", F.col("x1").alias("s")), s.select(F.col("id").alias("b"), "line", F.col("x0").alias("e"))
-    gaps = a.join(b, "line").where((F.col("a") != F.col("b")) & (F.col("e") - F.col("s")).between(1, 250))
-    k = s.select("id", F.col("line").alias("kl"), "x0", "x1")
-    blocked = (F.col("kl") == F.col("line")) & (F.col("id") != F.col("a")) & (F.col("id") != F.col("b")) & (F.col("x0") < F.col("e")) & (F.col("x1") > F.col("s"))
-    return gaps.join(k, blocked, "left_anti").select("a", "b", (F.col("e") - F.col("s")).cast("int").alias("gap"))
+    return free.join(a, ["line", "s"]).join(b, ["line", "e"]).select("a", "b", (F.col("e") - F.col("s")).cast("int").alias("gap"))
 
 
 VERTEX_SQL = "v AS (SELECT * FROM (VALUES " + ", ".join(f"({r}, {k}, {x}::DOUBLE, {y}::DOUBLE)" for r, ring in RINGS for k, (x, y) in enumerate(ring)) + ") t(rid, k, x, y))"

@@ -59,7 +59,16 @@ def overlap_pairs(spark, sf_dir):
     return P.overlap_pairs(boxes(spark, sf_dir), 64)
 
 
-@register()
+#: Rows ``o`` (g, r, id) taken in turn within g; a row is kept unless one of its rivals in ``v`` (id, rivals) has been.
+TURNS = """n AS (SELECT g, max(r) AS n FROM o GROUP BY g),
+k AS (SELECT g, CAST(0 AS BIGINT) AS r, CAST([] AS BIGINT[]) AS kept FROM n
+  UNION ALL SELECT k.g, o.r, CASE WHEN list_has_any(k.kept, v.rivals) THEN k.kept ELSE list_append(k.kept, o.id) END FROM k JOIN o ON o.g = k.g AND o.r = k.r + 1 LEFT JOIN v ON v.id = o.id),
+kept AS (SELECT k.g, k.kept FROM k JOIN n ON n.g = k.g AND n.n = k.r)"""
+
+
+@register(f"""WITH RECURSIVE {BOXES_SQL}, o AS (SELECT level AS g, id, row_number() OVER (PARTITION BY level ORDER BY area DESC, id) AS r FROM boxes),
+v AS (SELECT b.id, list(a.id) AS rivals FROM boxes a JOIN boxes b ON a.level = b.level AND (a.area > b.area OR (a.area = b.area AND a.id < b.id)) AND a.x0 < b.x1 AND b.x0 < a.x1 AND a.y0 < b.y1 AND b.y0 < a.y1 GROUP BY b.id),
+{TURNS} SELECT id, level, area FROM boxes WHERE id IN (SELECT unnest(kept) FROM kept)""")
 def greedy_nms(spark, sf_dir):
     return P.greedy_nms(boxes(spark, sf_dir), 64).select("id", "level", "area")
 
@@ -152,7 +161,9 @@ def proximity_attrs(spark, sf_dir):
     return near.groupBy("id").agg(*first)
 
 
-@register()
+@register(f"""WITH RECURSIVE {POINTS_SQL}, o AS (SELECT label AS g, id, row_number() OVER (PARTITION BY label ORDER BY id) AS r FROM points),
+v AS (SELECT b.id, list(a.id) AS rivals FROM points a JOIN points b ON a.label = b.label AND a.id < b.id AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 64 GROUP BY b.id),
+{TURNS}, t AS (SELECT g, kept, unnest(range(len(kept))) AS nth FROM kept) SELECT g AS label, CAST(nth AS INT) AS nth, kept[nth + 1] AS id FROM t""")
 def spacing_dedup(spark, sf_dir):
     return P.spacing_dedup(points(spark, sf_dir).select("label", "id", "x", "y"), "label", F.col("id"), 8.0)
 

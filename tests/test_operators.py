@@ -12,6 +12,7 @@ from roomflux.operators import graph as G
 from roomflux.operators import lookup as L
 from roomflux.operators import schedule as S
 from roomflux.operators import sequence as Q
+from roomflux.operators import shapes as SH
 from roomflux.operators import spatial as P
 from roomflux.plans.blocks import with_last_known, with_numbers, with_previous, with_running_sum
 from roomflux.plans.components import connected_components
@@ -334,3 +335,46 @@ def test_cluster_needs_a_shared_folder():
 
     with pytest.raises(RuntimeError):
         lineage.shared_dir(Held())
+
+
+DOORS = "id long, level int, ax double, ay double, bx double, by double"
+WALLS = "level int, x0 double, y0 double, x1 double, y1 double"
+
+
+def test_doors_against_walls(spark):
+    doors = spark.createDataFrame([(1, 0, 0.0, 0.0, 2.0, 0.0), (2, 0, 0.0, 5.0, 2.0, 5.0), (3, 1, 0.0, 0.0, 2.0, 0.0), (4, 0, 1.0, -9.0, 1.0, 9.0), (5, 0, None, 0.0, 1.0, 1.0), (6, 0, 0.5, 0.5, 1.5, 1.5)], DOORS)
+    walls = spark.createDataFrame([(0, 1.0, -1.0, 1.5, 1.0), (0, 1.5, -1.0, 1.75, 1.0), (1, 1.98, -1.0, 9.0, 1.0), (None, 0.0, 0.0, 9.0, 9.0)], WALLS)
+    got = {r["id"]: r["covered"] for r in SH.blocked_doors(doors, walls, 0.7).collect()}
+    assert got == {1: 0.75, 4: 2.0}
+    assert sorted(r["id"] for r in SH.open_doors(doors, walls, 0.7).collect()) == [2, 3, 5, 6]
+    assert SH.blocked_doors(doors, walls.limit(0), 0.7).count() == 0
+    assert SH.open_doors(doors.limit(0), walls, 0.7).count() == 0
+
+
+def test_styles_and_obstacles(spark):
+    lines = spark.createDataFrame([(1, 0.0, 0.0, 1.0, 0.0, None, 0.5), (2, 0.0, 0.0, 0.01, 0.0, None, 0.5), (3, 0.0, 0.0, 0.0, 1.0, 0.2501, 0.0), (4, 0.0, 0.0, 0.0, 1.0, 0.3, 0.0), (5, 0.0, 0.0, 0.0, 1.0, 0.25, None)], "id int, x0 double, y0 double, x1 double, y1 double, width double, grey double")
+    styles = spark.createDataFrame([(0.0, 0.5), (0.25, 0.0)], "width double, grey double")
+    got = {tuple(r) for r in SH.styled_cuts(lines, styles, (1.0, 0.0, 0.0, 0.0)).collect()}
+    assert got == {(1, -0.02, 0.0, 1.02, 0.0), (3, 0.0, -0.02, 0.0, 1.02)}
+    rows = [(1, "w", "f", "l", 0.9), (2, "w", "f", "l", 0.5), (3, "w", "s", "l", 0.9), (4, "c", "fs", "c", None), (5, "c", "s", "c", None), (6, "c", "s", "re", None), (7, None, "f", "l", 0.9)]
+    e = spark.createDataFrame([(*r, 0.0, 0.0, 1.0, 1.0) for r in rows], "id int, layer string, kind string, item string, fill double, x0 double, y0 double, x1 double, y1 double")
+    assert {r["id"]: r["x1"] for r in SH.obstacles(e, ["w"], "c").collect()} == {1: 1.0, 4: 1.0, 6: 2.2}
+
+
+def test_first_seen_takes_null_keys_as_one(spark):
+    df = spark.createDataFrame([(1, None, 5), (2, None, 4), (3, "a", 1), (4, "a", 2)], "id int, k string, t int")
+    assert {(r["k"], r["id"]) for r in SH.first_seen(df, ["k"], ["t", "id"]).collect()} == {(None, 2), ("a", 3)}
+
+
+def test_spacing_by_rounds_equals_turns(spark):
+    pts = [(k, k % 2 if k % 5 else None, float(k * 7 % 23), float(k * 11 % 19)) for k in range(80)]
+    df = spark.createDataFrame(pts, "id int, g int, x double, y double")
+    kept = {}
+    for k, g, x, y in pts:
+        if all((x - a) ** 2 + (y - b) ** 2 > 9 for _, a, b in kept.setdefault(g, [])):
+            kept[g].append((k, x, y))
+    got = {}
+    for r in P.spacing_dedup(df, "g", F.col("id"), 3.0).orderBy("nth").collect():
+        got.setdefault(r["g"], []).append(r["id"])
+    assert got == {g: [k for k, _, _ in v] for g, v in kept.items()}
+    assert P.spacing_dedup(df.limit(0), "g", F.col("id"), 3.0).count() == 0
