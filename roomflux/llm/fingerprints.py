@@ -11,6 +11,7 @@ join, so pairs of fingerprints are never gathered; equal fingerprints are one en
 
 from __future__ import annotations
 
+from collections import Counter
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
@@ -96,28 +97,57 @@ def near_links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     return left.join(right, on).groupBy("l.h0", "l.h1").agg(F.count(F.lit(1)).alias("n_near"))
 
 
-def in_sequence(docs: DataFrame) -> DataFrame:
-    """``rid``, ``block``, ``doc_id``, ``text`` and ``next_text``: each row with its follower by (doc_id, text), the last with the first.
+def _quantiles(rows: DataFrame, of: str, many: int) -> list:
+    """The ``many`` - 1 values that cut ``of`` into ``many`` parts, in order, repeated where one value fills several parts."""
+    if many < 2:
+        return []
+    shares = F.split(F.lit(",".join(str(k / many) for k in range(1, many))), ",").cast("array<double>")
+    return rows.agg(F.percentile_approx(of, shares, max(10_000, 8 * many))).first()[0] or []
 
-    Rows are dealt to blocks of about ``BLOCK_ROWS`` by quantiles of doc_id, each block is ordered by itself, and a block's
-    last row takes the first row of the next block. Null ids come last.
-    """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    n = rows.count()
-    many = min(MOST_BLOCKS, max(1, n // BLOCK_ROWS))
-    cuts = rows.agg(F.percentile_approx("doc_id", F.array(*(F.lit(k / many) for k in range(1, many))) if many > 1 else F.array(F.lit(0.5)), max(10_000, 8 * many))).collect()[0][0] or []
-    cuts = sorted(set(cuts))
-    bits = max(1, len(cuts).bit_length())
+
+def _at(values: list, kind: str, k: Column) -> Column:
+    """The ``k``-th of ``values``, held in the plan as one literal."""
+    return F.try_element_at(F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>"), k)
+
+
+def _reached(cuts: list, kind: str, value: Column) -> Column:
+    """How many of the ascending ``cuts`` are at most ``value``, by bisection."""
 
     def further(at: Column, k: Column) -> Column:
         ahead = at + F.call_function("shiftleft", F.lit(1), k)
-        return F.when((ahead <= len(cuts)) & (F.try_element_at(F.array(*map(F.lit, cuts)).cast("array<bigint>"), ahead) <= F.col("doc_id")), ahead).otherwise(at)
+        return F.when((ahead <= len(cuts)) & (_at(cuts, kind, ahead) <= value), ahead).otherwise(at)
 
-    block = F.aggregate(F.sequence(F.lit(bits), F.lit(0), F.lit(-1)), F.lit(0), further) if cuts else F.lit(0)
-    rows = rows.withColumn("block", F.when(F.col("doc_id").isNull(), len(cuts) + 1).otherwise(block))
+    return F.aggregate(F.sequence(F.lit(len(cuts).bit_length()), F.lit(0), F.lit(-1)), F.lit(0), further) if cuts else F.lit(0)
+
+
+def in_sequence(docs: DataFrame) -> DataFrame:
+    """``rid``, ``block``, ``doc_id``, ``text`` and ``follower``: rows in order of (doc_id, text), each with the next one's text.
+
+    Rows are dealt to blocks of about ``BLOCK_ROWS`` by quantiles of doc_id, and each block is ordered by itself; its last row
+    has a null follower. Null ids come last. An id that fills blocks of its own, and the null ids, are cut further by quantiles
+    of the first bytes of their texts; only rows with the id and those bytes in common stay in one block whatever their number.
+    """
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    n, known = rows.agg(F.count(F.lit(1)), F.count("doc_id")).first()
+    found = _quantiles(rows, "doc_id", min(MOST_BLOCKS, max(1, n // BLOCK_ROWS)))
+    cuts, hot = sorted(set(found)), sorted(v for v, times in Counter(found).items() if times > 1)
+    rows = rows.withColumn("base", F.when(F.col("doc_id").isNull(), len(cuts) + 1).otherwise(_reached(cuts, "bigint", F.col("doc_id"))))
+    if hot or n - known > BLOCK_ROWS:
+        nth = _reached(hot, "bigint", F.col("doc_id"))
+        place = F.when(F.col("doc_id").isNull(), len(hot)).when(_at(hot, "bigint", F.nullif(nth, F.lit(0))) == F.col("doc_id") if hot else F.lit(False), nth - 1)
+        start = F.conv(F.rpad(F.hex(F.substring(F.col("text").cast("binary"), 1, 6)), 12, "0"), 16, 10).cast("double") / (1 << 48)
+        rows = rows.withColumn("finer", place + start)
+        held = rows.where("finer IS NOT NULL")
+        parts = _quantiles(held, "finer", min(MOST_BLOCKS, held.count() // BLOCK_ROWS))
+        parts = sorted(set(parts))
+        # Other ids of the same base are greater than the hot one, with which it begins.
+        sub = F.when(F.col("finer").isNull(), len(parts) + 1).otherwise(_reached(parts, "double", F.col("finer")))
+    else:
+        sub = F.lit(0)
+    rows = rows.select("doc_id", "text", (F.col("base").cast("long") * (1 << 17) + sub).alias("block"))
     order = Window.partitionBy("block").orderBy(F.col("doc_id").asc_nulls_last(), "text")
-    rows = rows.withColumn("nth", F.row_number().over(order)).withColumn("follower", F.lead("text").over(order)).withColumn("rid", F.col("block").cast("long") * (1 << 40) + F.col("nth"))
-    return rows
+    rows = rows.withColumn("nth", F.row_number().over(order)).withColumn("follower", F.lead("text").over(order))
+    return rows.withColumn("rid", F.col("block") * (1 << 29) + F.col("nth"))
 
 
 def edited(text: Column, follower: Column) -> Column:
@@ -134,17 +164,19 @@ def fingerprints(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     table gives an empty one; columns besides doc_id and text are ignored.
     """
     rows = in_sequence(docs)
-    # One row per block, at most MOST_BLOCKS of them: the row that follows the block's last one.
+    # One row per block: the first one, which follows the last one of the block before. Only numbers are ordered as a whole.
+    firsts = materialize(rows.where("nth = 1").select("block", "rid", "text"), "firsts")
     around = Window.orderBy("block")
-    firsts = rows.where("nth = 1").select("block", "text", "rid")
-    ring = materialize(firsts.select("block", F.coalesce(F.lead("text").over(around), F.first("text").over(around)).alias("after_text"), F.coalesce(F.lead("rid").over(around), F.first("rid").over(around)).alias("after_rid")), "ring")
-    full = rows.join(ring, "block")
-    full = full.withColumn("next_rid", F.when(F.col("follower").isNull(), F.col("after_rid")).otherwise(F.col("rid") + 1)).withColumn("follower", F.coalesce("follower", "after_text"))
-    full = full.select("rid", "next_rid", "doc_id", F.length("text").cast("long").alias("n_chars"), "text", edited(F.col("text"), F.col("follower")).alias("edited"))
+    after = firsts.select("block", *(F.coalesce(F.lead(c).over(around), F.first(c).over(around)).alias(f"next_{c}") for c in ("block", "rid")))
+    ring = after.join(firsts.select(F.col("block").alias("next_block"), F.col("text").alias("after_text")), "next_block").select(F.col("block").alias("last_of"), F.col("next_rid").alias("after_rid"), "after_text")
+    full = rows.join(ring, (F.col("block") == F.col("last_of")) & F.col("follower").isNull(), "left")
+    full = full.withColumn("next_rid", F.coalesce("after_rid", F.col("rid") + 1)).withColumn("follower", F.coalesce("follower", "after_text"))
+    full = full.select("block", "rid", "next_rid", "doc_id", F.length("text").cast("long").alias("n_chars"), "text", edited(F.col("text"), F.col("follower")).alias("edited"))
     full = full.withColumn("edited_sha256", F.sha2(F.col("edited").cast("binary"), 256))
-    by = ["rid", "next_rid", "doc_id", "n_chars", "edited_sha256", "which"]
-    two = full.select("rid", "next_rid", "doc_id", "n_chars", "edited_sha256", F.inline(F.array(F.struct(F.lit(0).alias("which"), F.col("text").alias("body")), F.struct(F.lit(1).alias("which"), F.col("edited").alias("body")))))
-    prints = materialize(votes(two, "body", by), "prints")
+    # Rows already lie by block, so groups that name it need no further exchange.
+    by = ["block", "rid", "next_rid", "doc_id", "n_chars", "edited_sha256", "which"]
+    two = full.select(*by[:-1], F.inline(F.array(F.struct(F.lit(0).alias("which"), F.col("text").alias("body")), F.struct(F.lit(1).alias("which"), F.col("edited").alias("body")))))
+    prints = materialize(votes(two, "body", by).drop("block"), "prints")
     text = prints.where("which = 0").drop("which")
     of_edited = prints.where("which = 1").select("rid", F.col("h0").alias("e0"), F.col("h1").alias("e1"))
     of_next = prints.where("which = 0").select(F.col("rid").alias("next_rid"), F.col("h0").alias("n0"), F.col("h1").alias("n1"))

@@ -486,6 +486,64 @@ def test_fingerprints(request, which):
     assert all(near[int(r["fingerprint"], 16)] == r["n_near"] for r in got)
 
 
+def plain_fingerprint(text):
+    """128 signed bits of word pairs, each weighing its length."""
+    words = [w for w in re.split(r"[\x20\x09-\x0D]+", text.lower()) if w]
+    terms = list(zip(words, words[1:], strict=False)) if len(words) > 1 else [(w, "") for w in words]
+    total, bits = 0, np.zeros(128, dtype=np.int64)
+    for a, b in terms:
+        weight = len(a) + len(b)
+        one = xxhash.xxh64_intdigest(b.encode(), xxhash.xxh64_intdigest(a.encode(), 42))
+        other = xxhash.xxh64_intdigest(a.encode(), xxhash.xxh64_intdigest(b.encode(), 42))
+        other = xxhash.xxh64_intdigest((1).to_bytes(4, "little"), other)
+        total += weight
+        bits += weight * np.array([one >> k & 1 for k in range(64)] + [other >> k & 1 for k in range(64)])
+    set_ = [k for k in range(128) if 2 * bits[k] > total]
+    return sum(1 << k for k in set_ if k < 64), sum(1 << (k - 64) for k in set_ if k >= 64)
+
+
+def plain_fingerprints(docs):
+    rows = sorted(((d, t or "") for d, t in docs), key=lambda r: (r[0] is None, r[0] or 0, r[1].encode()))
+    out = []
+    for k, (d, t) in enumerate(rows):
+        follower = rows[(k + 1) % len(rows)][1]
+        half = len(t) // 2
+        changed = t[: len(t) - half] + follower[:half]
+        a, b, c = (plain_fingerprint(x) for x in (t, changed, follower))
+        alike = [1 - ((a[0] ^ x[0]).bit_count() + (a[1] ^ x[1]).bit_count()) / 128 for x in (b, c)]
+        out.append((d, len(t), hashlib.sha256(changed.encode()).hexdigest(), "%016x%016x" % a, "%016x%016x" % b, *alike))
+    return Counter(out)
+
+
+COLUMNS = ("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
+@pytest.mark.parametrize("which", ["odd", "small"])
+def test_fingerprint_bits_and_likeness_are_those_of_a_plain_loop(request, which):
+    df = request.getfixturevalue(which)
+    if which == "odd":
+        df = df.where("n_chars IS NULL OR n_chars < 1000")
+    got = Counter(tuple(r[c] for c in COLUMNS) for r in fingerprints.fingerprints(df).collect())
+    assert got == plain_fingerprints(texts(df))
+
+
+def test_sequence_with_hot_and_null_ids(spark, monkeypatch):
+    """A third of the rows share an id and a third have none; both are cut into blocks, in the same order."""
+    monkeypatch.setattr(fingerprints, "BLOCK_ROWS", 20)
+    rng = np.random.default_rng(3)
+    words = ["alpha", "beta", "Gamma", "\u00e9", "\U0001f600", "zeta", "0"]
+
+    def text():
+        return " ".join(words[i] for i in rng.integers(0, len(words), int(rng.integers(0, 8))))
+
+    rows = [(7, text()) for _ in range(200)] + [(None, text()) for _ in range(200)] + [(int(i), text()) for i in rng.integers(-50, 150, 200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = fingerprints.fingerprints(df).collect()
+    assert Counter(tuple(r[c] for c in COLUMNS) for r in got) == plain_fingerprints(rows)
+    per_block = fingerprints.in_sequence(df).groupBy("block").count().collect()
+    assert max(r["count"] for r in per_block) < 100
+
+
 def test_fingerprint_search_matches_brute_force(spark):
     rng = np.random.default_rng(5)
     base = [int.from_bytes(rng.bytes(16), "big") for _ in range(20)]
