@@ -1,5 +1,5 @@
 """Registered queries: the operators applied to the driver tables, each with its SQL where there is one."""
 
-from roomflux.queries import graph, lookup, more, normalize, schedule, sequence, shapes, sources, spatial
+from roomflux.queries import graph, lookup, more, normalize, regions, schedule, sequence, shapes, sources, spatial
 
-__all__ = ["graph", "lookup", "more", "normalize", "schedule", "sequence", "shapes", "sources", "spatial"]
+__all__ = ["graph", "lookup", "more", "normalize", "regions", "schedule", "sequence", "shapes", "sources", "spatial"]
