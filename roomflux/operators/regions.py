@@ -64,7 +64,8 @@ def label_anchors(rings: DataFrame, precision: float = 0.02) -> DataFrame:
     """id, x, y, room: a point in each ring (id, ring) that is as far from its line as any, to within ``precision``.
 
     Squares over a ring's box are split into four while they may hold a better point than the best centre so far; rounds grow
-    with the logarithm of a ring's size, and all rings take part in each. Null rings, and those without extent in x or y, give
+    with the logarithm of a ring's size, and all rings take part in each; where the widest place is a strip, squares grow with
+    its length over ``precision``. Null rings, and those without extent in x or y, give
     no row.
     """
     def span(axis: str, of):
@@ -81,7 +82,8 @@ def label_anchors(rings: DataFrame, precision: float = 0.02) -> DataFrame:
     middle = boxed.select("id", "ring", ((F.col("x0") + F.col("x1")) / 2).alias("x"), ((F.col("y0") + F.col("y1")) / 2).alias("y"), F.lit(0.0).alias("half"))
     cells, best = cells.unionByName(middle), None
     while True:
-        measured = materialize(cells.withColumn("room", room_around(F.col("x"), F.col("y"), F.col("ring"))), "squares")
+        # A ring's squares are spread too: a large region is not one task's.
+        measured = materialize(cells.repartition("id", "x", "y").withColumn("room", room_around(F.col("x"), F.col("y"), F.col("ring"))), "squares")
         rivals = measured.select("id", "x", "y", "room")
         rivals = rivals if best is None else rivals.unionByName(best)
         chosen = materialize(rivals.groupBy("id").agg(F.max_by(F.struct("x", "y", "room"), F.struct("room", -F.col("x"), -F.col("y"))).alias("b")).select("id", "b.*"), "anchors")

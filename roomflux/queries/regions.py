@@ -38,7 +38,8 @@ def least_rectangles(spark, sf_dir):
 
 @register()
 def label_anchors(spark, sf_dir):
-    return R.label_anchors(bent_rooms(spark, sf_dir)).select("id", *(F.round(c, 2).alias(c) for c in ("x", "y", "room")))
+    rooms = bent_rooms(spark, sf_dir).withColumn("ring", F.transform("ring", lambda p: F.struct((p["x"] / 10).alias("x"), (p["y"] / 10).alias("y"))))
+    return R.label_anchors(rooms).select("id", *(F.round(c, 2).alias(c) for c in ("x", "y", "room")))
 
 
 @register()
