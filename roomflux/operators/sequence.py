@@ -92,9 +92,9 @@ def history_back(df: DataFrame, group: str, order: list[str], state: str, block:
 
 
 def coalesce_gaps(df: DataFrame, group: str, start: Column, end: Column, reach: float) -> DataFrame:
-    """Intervals lengthened by ``reach`` at both ends, those that touch joined into one."""
+    """Intervals lengthened by ``reach`` at both ends, those that touch joined into one; those without an end stand alone, after the others."""
     long = df.select(group, (start - reach).alias("s"), (end + reach).alias("e"))
-    w = Window.partitionBy(group).orderBy("s", "e")
+    w = Window.partitionBy(group).orderBy(F.asc_nulls_last("s"), F.asc_nulls_last("e"))
     before = F.max("e").over(w.rowsBetween(Window.unboundedPreceding, -1))
     marked = long.withColumn("__new", F.when(before >= F.col("s"), 0).otherwise(1))
     islands = marked.withColumn("island", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))

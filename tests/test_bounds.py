@@ -34,6 +34,16 @@ def test_search_ends_where_its_sql_does(spark, long_building, name):
     same(spark, long_building, name)
 
 
+def test_bitmap_holds_every_cell(spark, long_building):
+    same(spark, long_building, "bitmap_roundtrip")
+
+
+def test_intervals_without_a_value_come_last(spark, tmp_path):
+    events = pd.DataFrame({"event_id": [1, 2, 3, 4], "user_id": [7, 7, 7, 7], "value": [5.0, None, 500.0, 6.0], "ts": pd.to_datetime("2024-01-01")})
+    events.to_parquet(f"{tmp_path}/events.parquet")
+    same(spark, tmp_path, "coalesce_gaps")
+
+
 @pytest.mark.parametrize("small", [0, 1000])
 def test_bounds_of_searches(spark, small):
     edges = spark.createDataFrame([(k, k + 1, 2.0) for k in range(6)], "a long, b long, w double")
