@@ -40,7 +40,7 @@ def test_bitmap_holds_every_cell(spark, long_building):
 
 def test_intervals_without_a_value_come_last(spark, tmp_path):
     events = pd.DataFrame({"event_id": [1, 2, 3, 4], "user_id": [7, 7, 7, 7], "value": [5.0, None, 500.0, 6.0], "ts": pd.to_datetime("2024-01-01")})
-    events.to_parquet(f"{tmp_path}/events.parquet")
+    events.to_parquet(f"{tmp_path}/events.parquet", coerce_timestamps="us", allow_truncated_timestamps=True)
     same(spark, tmp_path, "coalesce_gaps")
 
 
@@ -50,3 +50,67 @@ def test_bounds_of_searches(spark, small):
     assert {r["node"]: r["dist"] for r in G.shortest_paths(edges, 0, small, below=6).collect()} == {0: 0.0, 1: 2.0, 2: 4.0}
     source = spark.createDataFrame([(0,)], "node long")
     assert {r["node"]: r["depth"] for r in G.bfs_parents(edges, source, small, deepest=3).collect()} == {0: 0, 1: 1, 2: 2, 3: 3}
+
+
+def random_boxes(n, seed):
+    import random
+
+    random.seed(seed)
+    out = []
+    for k in range(n):
+        x, y = random.randrange(60), random.randrange(60)
+        out.append((k, random.randrange(2), x, y, x + random.randrange(1, 9), y + random.randrange(1, 5)))
+    return [(*r, (r[4] - r[2]) * (r[5] - r[3])) for r in out] + [(n + k, *r[1:], (r[4] - r[2]) * (r[5] - r[3])) for k, r in enumerate(out[: n // 3])]
+
+
+BOX = "id long, level int, x0 int, y0 int, x1 int, y1 int, area int"
+
+
+def test_full_buckets_are_sliced(spark, monkeypatch):
+    from roomflux.operators import spatial as P
+
+    monkeypatch.setattr(P, "SLICE", 20)
+    boxes = random_boxes(150, 1)
+    want = {(a[0], b[0]) for a in boxes for b in boxes if a[0] < b[0] and a[1] == b[1] and a[2] + 0.5 < b[4] and b[2] + 0.5 < a[4] and a[3] + 0.5 < b[5] and b[3] + 0.5 < a[5]}
+    got = [(r["a"], r["b"]) for r in P.overlap_pairs(spark.createDataFrame(boxes, BOX), 16).collect()]
+    assert len(got) == len(want) and set(got) == want
+
+
+def test_copies_of_boxes_make_no_pairs(spark, monkeypatch):
+    from roomflux.operators import spatial as P
+
+    boxes, seen = random_boxes(120, 2), []
+    made = P.settle
+
+    def watched(rivals):
+        seen.append(rivals.count())
+        return made(rivals)
+
+    monkeypatch.setattr(P, "settle", watched)
+    copies = [(1000 * c + b[0], *b[1:]) for c in range(20) for b in boxes]
+    copies.append((99_999, 0, 0, 0, 50, 50, None))
+    kept = []
+    for b in sorted(copies[:-1], key=lambda b: (-b[6], b[0])):
+        if not any(a[1] == b[1] and a[2] < b[4] and b[2] < a[4] and a[3] < b[5] and b[3] < a[5] for a in kept):
+            kept.append(b)
+    assert {r["id"] for r in P.greedy_nms(spark.createDataFrame(copies, BOX), 16).collect()} == {b[0] for b in kept} | {99_999}
+    assert seen[0] < len(boxes) ** 2 / 2
+
+
+@pytest.mark.parametrize("ahead", [False, True])
+def test_nearest_points_by_tiles(spark, ahead):
+    import random
+
+    from roomflux.operators import spatial as P
+
+    random.seed(3)
+    pts = [(k, random.choice([random.gauss(0, 1), random.uniform(-30, 30)]), round(random.uniform(-9, 9), 1)) for k in range(250)]
+    pts += [(1000 + p[0], *p[1:]) for p in pts[:100]] + [(5000, None, 1.0)]
+    df = spark.createDataFrame(pts, "id long, x double, y double")
+    want = {}
+    for p in pts[:-1]:
+        near = [((q[1] - p[1]) ** 2 + (q[2] - p[2]) ** 2, q[0]) for q in pts[:-1] if not ahead or q[1] > p[1] and abs(q[2] - p[2]) <= q[1] - p[1]]
+        near = [n for n in near if n[0] <= 9]
+        if near:
+            want[p[0]] = min(near)[1]
+    assert {r["id"]: r["near"] for r in P.nearest_points(df, df, 3.0, ahead).collect()} == want
