@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from roomflux.operators.spatial import nearest_points
+
 
 def natural_order(code: Column) -> list[Column]:
     """Sort keys of codes like ``F03`` or ``2.10``: the F block first, then floor, number (99 if it has none) and the code."""
@@ -29,14 +31,5 @@ def nearest_per_kind(df: DataFrame, kind: str, distance: Column, value: str) ->
 
 
 def directional_neighbour(df: DataFrame, radius: float) -> DataFrame:
-    """For each point (id, x, y) the nearest other point to its right, within 45 degrees and ``radius``; by distance, then id.
-
-    Points are put in square buckets of the radius, and each looks into its own and the eight around it.
-    """
-    cell = [F.floor(F.col(c) / radius).alias(f"c{c}") for c in ("x", "y")]
-    own = df.select("id", "x", "y", *cell)
-    around = F.array(*(F.struct(F.lit(a).alias("ax"), F.lit(b).alias("ay")) for a in (0, 1) for b in (-1, 0, 1)))
-    ask = own.select(F.col("id").alias("id0"), F.col("x").alias("x0"), F.col("y").alias("y0"), "cx", "cy", F.inline(around)).select("id0", "x0", "y0", (F.col("cx") + F.col("ax")).alias("cx"), (F.col("cy") + F.col("ay")).alias("cy"))
-    dx, dy = F.col("x") - F.col("x0"), F.col("y") - F.col("y0")
-    near = ask.join(own, ["cx", "cy"]).where((F.col("id") != F.col("id0")) & (dx > 0) & (F.abs(dy) <= dx) & (dx * dx + dy * dy <= radius * radius))
-    return near.groupBy(F.col("id0").alias("id")).agg(F.min_by(F.col("id"), F.struct(dx * dx + dy * dy, F.col("id"))).alias("neighbour"))
+    """For each point (id, x, y) the nearest other point to its right, within 45 degrees and ``radius``; by distance, then id."""
+    return nearest_points(df, df, radius, ahead=True).select("id", F.col("near").alias("neighbour"))
