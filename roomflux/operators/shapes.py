@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from roomflux.plans.groups import dealt
+
 
 def first_seen(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The first row, by ``order``, of each key (null keys are one key): what a set of seen keys lets through."""
@@ -25,23 +27,27 @@ def _span(at: Column, step: Column, low: Column, high: Column) -> tuple[Column,
 def blocked_doors(doors: DataFrame, walls: DataFrame, size: float, allowed: float = 0.05) -> DataFrame:
     """Doors (id, level, ax, ay, bx, by) with more than ``allowed`` of their line within walls (level, x0, y0, x1, y1): id, covered.
 
-    ``covered`` is summed over walls. Both stand in each bucket that their box touches; a pair counts in the bucket where the
-    common part of the boxes begins. Rows with nulls meet nothing.
+    ``covered`` is summed over walls. Equal lines and equal walls are taken once, the walls with their number. Both stand in each
+    bucket that their box touches; a pair counts in the bucket where the common part of the boxes begins, and buckets are dealt
+    over all tasks. Rows with nulls meet nothing.
     """
+    ends, sides = ["ax", "ay", "bx", "by"], ["x0", "y0", "x1", "y1"]
 
     def spread(df: DataFrame, x0: Column, y0: Column, x1: Column, y1: Column) -> DataFrame:
         wide = df.withColumn("__bx", F.explode(F.sequence(F.floor(x0 / size), F.floor(x1 / size))))
-        return wide.withColumn("__by", F.explode(F.sequence(F.floor(y0 / size), F.floor(y1 / size))))
+        return dealt(wide.withColumn("__by", F.explode(F.sequence(F.floor(y0 / size), F.floor(y1 / size)))), "level", "__bx", "__by")
 
     left, low = F.least("ax", "bx"), F.least("ay", "by")
-    own = spread(doors, left, low, F.greatest("ax", "bx"), F.greatest("ay", "by"))
-    other = spread(walls.select("level", *(F.col(c).alias(f"__{c}") for c in ("x0", "y0", "x1", "y1"))), *(F.col(f"__{c}") for c in ("x0", "y0", "x1", "y1")))
+    own = spread(doors.select("level", *ends).distinct(), left, low, F.greatest("ax", "bx"), F.greatest("ay", "by"))
+    counted = walls.groupBy("level", *sides).agg(F.count(F.lit(1)).alias("__n")).select("level", "__n", *(F.col(c).alias(f"__{c}") for c in sides))
+    other = spread(counted, *(F.col(f"__{c}") for c in sides))
     once = (F.col("__bx") == F.floor(F.greatest(left, "__x0") / size)) & (F.col("__by") == F.floor(F.greatest(low, "__y0") / size))
     dx, dy = F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")
     (fx, tx), (fy, ty) = _span(F.col("ax"), dx, F.col("__x0"), F.col("__x1")), _span(F.col("ay"), dy, F.col("__y0"), F.col("__y1"))
     share = F.greatest(F.lit(0.0), F.least(tx, ty, F.lit(1.0)) - F.greatest(fx, fy, F.lit(0.0)))
-    met = own.join(other, ["level", "__bx", "__by"]).where(once)
-    covered = met.groupBy("id").agg(F.round(F.sum(share * F.sqrt(dx * dx + dy * dy)), 6).alias("covered"))
+    met = own.join(other.hint("merge"), ["level", "__bx", "__by"]).where(once)
+    lines = met.groupBy("level", *ends).agg(F.sum(share * F.sqrt(dx * dx + dy * dy) * F.col("__n")).alias("__covered"))
+    covered = doors.select("id", "level", *ends).join(lines, ["level", *ends]).groupBy("id").agg(F.round(F.sum("__covered"), 6).alias("covered"))
     return covered.where(F.col("covered") > allowed)
 
 

@@ -114,3 +114,37 @@ def test_nearest_points_by_tiles(spark, ahead):
         if near:
             want[p[0]] = min(near)[1]
     assert {r["id"]: r["near"] for r in P.nearest_points(df, df, 3.0, ahead).collect()} == want
+
+
+def test_copies_of_doors_and_walls_meet_once(spark):
+    from roomflux.operators import shapes as SH
+
+    doors = [(k, 1, 0.0, 0.0, 4.0, 0.0) for k in range(50)]
+    walls = [(1, 1.0, -1.0, 2.0, 1.0)] * 40 + [(1, 3.0, -1.0, 3.5, 1.0)]
+    found = SH.blocked_doors(spark.createDataFrame(doors, "id long, level int, ax double, ay double, bx double, by double"), spark.createDataFrame(walls, "level int, x0 double, y0 double, x1 double, y1 double"), 4.0)
+    assert {r["id"]: r["covered"] for r in found.collect()} == {k: 40.5 for k in range(50)}
+    joins = [line for line in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Aggregate" in line]
+    assert len(joins) >= 4  # lines and walls are put together before they meet
+
+
+def test_first_below_takes_the_nearest_row_then_the_least_id(spark):
+    from roomflux.operators import spatial as P
+
+    codes = spark.createDataFrame([(1, 0.0, 0.0), (2, 0.0, 0.0), (3, 500.0, 0.0)], "id long, x double, y double")
+    others = spark.createDataFrame([(10, 5.0, 3.0, 1), (9, -39.0, 3.0, 1), (8, 40.0, 3.0, 1), (7, 0.0, 4.0, 1), (6, 0.0, -1.0, 2), (5, 0.0, -2.0, 2)], "id long, x double, y double, kind int")
+    assert {r["id"]: r["first"] for r in P.first_below(codes, others, 39, -1, 44).collect()} == {1: {1: 9, 2: 6}, 2: {1: 9, 2: 6}}
+
+
+def test_components_broadcast_nothing(spark, monkeypatch):
+    from roomflux.plans import components as C
+
+    plans, kept = [], C.materialize
+
+    def watched(df, label="table"):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return kept(df, label)
+
+    monkeypatch.setattr(C, "materialize", watched)
+    edges = spark.createDataFrame([(k, k + 1) for k in range(30)], "a long, b long")
+    assert {r["label"] for r in C.connected_components(edges).collect()} == {0}
+    assert len(plans) > 3 and not any("Broadcast" in p for p in plans)
