@@ -15,7 +15,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     left out. Returns ``node``, ``label``. Each round is a large-star and a small-star: neighbours above a node are hooked on
     the least of its neighbourhood, then those below it, so rounds grow with the square of the logarithm at most. The loop ends
     when the links are stars, whose centres are then the least nodes; if ``max_rounds`` do not reach that, it raises. The
-    aggregates combine on the map side, so a hub is never gathered in one task.
+    aggregates combine on the map side, so a hub is never gathered in one task. The joins are merges: tables that shrink from
+    round to round would else be broadcast by way of the driver, each time anew.
     """
     pairs = edges.where("a is not null and b is not null and a <> b")
     links = materialize(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
@@ -25,10 +26,10 @@ def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
             return links.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(links.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("least")).select("a", F.least("a", "least").alias("least"))
-        large = materialize(both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("least").alias("b")).distinct(), "large")
+        large = materialize(both.join(least.hint("merge"), "a").where("b > a").select(F.col("b").alias("a"), F.col("least").alias("b")).distinct(), "large")
         release(links)
         least = large.groupBy("a").agg(F.min("b").alias("least"))
-        below = large.join(least, "a").where("b <> least").select(F.col("b").alias("a"), F.col("least").alias("b"))
+        below = large.join(least.hint("merge"), "a").where("b <> least").select(F.col("b").alias("a"), F.col("least").alias("b"))
         links = materialize(below.unionByName(least.select("a", F.col("least").alias("b"))).distinct(), "links")
         release(large)
     raise RuntimeError(f"components not found in {max_rounds} rounds")
