@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from roomflux.operators.spatial import fold_angle, inside
+from roomflux.plans.groups import dealt
 from roomflux.plans.lineage import materialize, release
 
 
@@ -60,14 +61,9 @@ def room_around(x: Column, y: Column, ring: Column) -> Column:
     return F.when(inside(x, y, ring), far).otherwise(-far)
 
 
-def label_anchors(rings: DataFrame, precision: float = 0.02) -> DataFrame:
-    """id, x, y, room: a point in each ring (id, ring) that is as far from its line as any, to within ``precision``.
+def _anchors_in_rounds(rings: DataFrame, precision: float) -> DataFrame:
+    """Anchors by one round of jobs for each size of squares, all rings in each; a ring's squares are spread over tasks."""
 
-    Squares over a ring's box are split into four while they may hold a better point than the best centre so far; rounds grow
-    with the logarithm of a ring's size, and all rings take part in each; where the widest place is a strip, squares grow with
-    its length over ``precision``. Null rings, and those without extent in x or y, give
-    no row.
-    """
     def span(axis: str, of):
         return of(F.transform("ring", lambda r: r[axis]))
 
@@ -98,6 +94,123 @@ def label_anchors(rings: DataFrame, precision: float = 0.02) -> DataFrame:
             return best
 
 
+#: Squares of one ring up to which the task that reads it also finds its anchor, and of one batch.
+SQUARES = 1 << 15
+BATCH = 256
+
+
+def _hypot(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """As Java's hypot, to the last bit, so that equal widths are equal on either way."""
+    x, y = np.abs(x), np.abs(y)
+    a, b = np.maximum(x, y), np.minimum(x, y)
+
+    def high(v: np.ndarray) -> np.ndarray:
+        return (v.view(np.int64) & np.int64(-(1 << 32))).view(np.float64)
+
+    w = a - b
+    t = high(a)
+    wide = np.sqrt(t * t - (b * -b - (a - t) * (a + t)))
+    twice = a + a
+    y1, t1 = high(b), high(twice)
+    near = np.sqrt(t1 * y1 - (w * -w - (t1 * (b - y1) + (twice - t1) * b)))
+    far = (a.view(np.int64) >> 32) - (b.view(np.int64) >> 32) > 0x3C00000
+    return np.where(far, a + b, np.where(w > b, wide, near))
+
+
+def _room(x: np.ndarray, y: np.ndarray, ring: np.ndarray) -> np.ndarray:
+    """``room_around`` of points in rings of equally many corners (point, corner, axis)."""
+    n = ring.shape[1]
+    far, crossed = np.full(len(x), np.inf), np.zeros(len(x), np.int64)
+    for k in range(n):
+        ax, ay, bx, by = *ring[:, k].T, *ring[:, (k + 1) % n].T
+        ax, ay, bx, by = (np.ascontiguousarray(v) for v in (ax, ay, bx, by))
+        dx, dy = bx - ax, by - ay
+        square = dx * dx + dy * dy
+        with np.errstate(divide="ignore", invalid="ignore"):
+            along = np.where(square > 0, ((x - ax) * dx + (y - ay) * dy) / square, 0.0)
+            along = np.minimum(np.maximum(along, 0.0), 1.0)
+            across = (ay > y) != (by > y)
+            crossed += across & (x < dx * (y - ay) / dy + ax)
+        far = np.minimum(far, _hypot(x - ax - along * dx, y - ay - along * dy))
+    return np.where(crossed % 2 == 1, far, -far)
+
+
+def _anchors(rings: np.ndarray, precision: float) -> np.ndarray:
+    """x, y, room of each ring of equally many corners; not a number where more than ``SQUARES`` squares would be needed."""
+    low, high = rings.min(1), rings.max(1)
+    size = (high - low).min(1)
+    many = np.ceil((high - low) / size[:, None])
+    out = np.full((len(rings), 3), np.nan)
+    live = many.prod(1) <= SQUARES
+    own, x, y, half = [], [], [], []
+    for r in np.flatnonzero(live):
+        nx, ny = many[r].astype(int)
+        gx, gy = np.meshgrid(low[r, 0] + (np.arange(nx) + 0.5) * size[r], low[r, 1] + (np.arange(ny) + 0.5) * size[r], indexing="ij")
+        own.append(np.full(gx.size + 1, r))
+        x.append(np.r_[gx.ravel(), (low[r, 0] + high[r, 0]) / 2])
+        y.append(np.r_[gy.ravel(), (low[r, 1] + high[r, 1]) / 2])
+        half.append(np.r_[np.full(gx.size, size[r] / 2), 0.0])
+    if not own:
+        return out
+    own, x, y, half = (np.concatenate(v) for v in (own, x, y, half))
+    while len(own):
+        room = np.concatenate([_room(x[k : k + 65536], y[k : k + 65536], rings[own[k : k + 65536]]) for k in range(0, len(own), 65536)])
+        best = np.full(len(rings), -np.inf)
+        np.maximum.at(best, own, room)
+        top = np.flatnonzero(room == best[own])
+        top = top[np.lexsort((y[top], x[top], own[top]))]
+        top = top[np.r_[True, own[top][1:] != own[top][:-1]]]
+        for k in top:
+            if np.isnan(out[own[k], 2]) or (room[k], -x[k], -y[k]) > (out[own[k], 2], -out[own[k], 0], -out[own[k], 1]):
+                out[own[k]] = x[k], y[k], room[k]
+        keep = (half > 0) & (room + half * math.sqrt(2) > out[own, 2] + precision)
+        own, x, y, half = own[keep], x[keep], y[keep], half[keep]
+        over = np.bincount(own, minlength=len(rings)) * 4 > SQUARES
+        live &= ~over
+        own, x, y, half = (v[~over[own]] for v in (own, x, y, half))
+        own = np.repeat(own, 4)
+        h = np.repeat(half, 4)
+        x = np.repeat(x, 4) + np.tile([-0.5, -0.5, 0.5, 0.5], len(x)) * h
+        y = np.repeat(y, 4) + np.tile([-0.5, 0.5, -0.5, 0.5], len(y)) * h
+        half = h / 2
+    out[~live] = np.nan
+    return out
+
+
+def label_anchors(rings: DataFrame, precision: float = 0.02) -> DataFrame:
+    """id, x, y, room: a point in each ring (id, ring) that is as far from its line as any, to within ``precision``.
+
+    Squares over a ring's box are split into four while they may hold a better point than the best centre so far. The task
+    that reads a ring finds its anchor; rings that need more than ``SQUARES`` squares at a time (where the widest place is a
+    strip, squares grow with its length over ``precision``) are left to rounds of jobs over which their squares are spread,
+    with the same result. Equal rings are solved once. Null rings, and those without extent in x or y, give no row.
+    """
+    plain = F.forall("ring", lambda p: p.isNotNull() & p["x"].isNotNull() & p["y"].isNotNull() & ~F.isnan(p["x"]) & ~F.isnan(p["y"]))
+    given = materialize(rings.select("id", "ring").where("size(ring) > 0"), "given")
+    one = materialize(given.groupBy("ring").agg(F.min("id").alias("one")), "shapes")
+    # Shapes are dealt over all tasks: few bytes of rings are much work.
+    own = materialize(dealt(one.select(F.col("one").alias("id"), "ring").withColumn("plain", plain), "id"), "rings")
+    flat = own.where("plain").select("id", F.transform("ring", lambda p: p["x"].cast("double")).alias("x"), F.transform("ring", lambda p: p["y"].cast("double")).alias("y"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for _, same in batch.groupby(batch["x"].map(len)):
+                for k in range(0, len(same), BATCH):
+                    part = same.iloc[k : k + BATCH]
+                    ring = np.stack([np.stack(part["x"].tolist()), np.stack(part["y"].tolist())], 2)
+                    wide = (np.ptp(ring, axis=1) > 0).all(1)
+                    found = _anchors(ring[wide], precision) if wide.any() else np.empty((0, 3))
+                    yield pd.DataFrame({"id": part["id"].to_numpy()[wide], "x": found[:, 0], "y": found[:, 1], "room": found[:, 2]})
+
+    found = materialize(flat.mapInPandas(run, f"id {rings.schema['id'].dataType.simpleString()}, x double, y double, room double"), "anchors")
+    done = found.where("room is not null").groupBy("id").agg(F.max_by(F.struct("x", "y", "room"), F.struct("room", -F.col("x"), -F.col("y"))).alias("b")).select("id", "b.*")
+    rest = own.where("not plain").select("id", "ring").unionByName(own.where("plain").join(found.where("room is null").select("id"), "id", "left_semi").select("id", "ring"))
+    rest = materialize(rest, "rest")
+    every = done.unionByName(_anchors_in_rounds(rest, precision)) if rest.limit(1).count() else done
+    same = given.join(one, "ring").select("id", "one")
+    return same.join(every.withColumnRenamed("id", "one"), "one").groupBy("id").agg(F.max_by(F.struct("x", "y", "room"), F.struct("room", -F.col("x"), -F.col("y"))).alias("b")).select("id", "b.*")
+
+
 def _occupied(points: DataFrame, low: tuple[float, float], res: float) -> np.ndarray:
     """Centres of the squares of side ``res`` that hold a point; their number is bounded by the caller's grid."""
     at = points.select(*(F.floor((F.col(c) - v) / res).alias(c) for c, v in zip("xy", low, strict=True))).distinct().toPandas()

@@ -148,3 +148,22 @@ def test_components_broadcast_nothing(spark, monkeypatch):
     edges = spark.createDataFrame([(k, k + 1) for k in range(30)], "a long, b long")
     assert {r["label"] for r in C.connected_components(edges).collect()} == {0}
     assert len(plans) > 3 and not any("Broadcast" in p for p in plans)
+
+
+def test_anchors_by_task_and_by_rounds_are_the_same(spark, monkeypatch):
+    from roomflux.operators import regions as R
+
+    rings = [(k, [(0.0, 0.0), (2.0 + k / 7, 0.3), (2.1, 0.7 + k / 9), (0.9, 0.6), (0.8, 1.9), (0.1, 1.7)]) for k in range(12)] + [(90, [(0.0, 0.0), (40.0, 0.0), (40.0, 1.0), (0.0, 1.0)]), (91, [(0.0, 0.0), (1.0, 0.0)]), (92, None)]
+    rings += [(100 + k, r) for k, r in rings[:5]]
+    df = spark.createDataFrame(rings, "id long, ring array<struct<x:double,y:double>>")
+    want = {tuple(r) for r in R._anchors_in_rounds(df, 0.02).collect()}
+    solved, rounds = [], R._anchors_in_rounds
+
+    def watched(rest, precision):
+        solved.append(rest.count())
+        return rounds(rest, precision)
+
+    monkeypatch.setattr(R, "_anchors_in_rounds", watched)
+    assert {tuple(r) for r in R.label_anchors(df, 0.02).collect()} == want and not solved
+    monkeypatch.setattr(R, "SQUARES", 500)
+    assert {tuple(r) for r in R.label_anchors(df, 0.02).collect()} == want and solved == [1]
