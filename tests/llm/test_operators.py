@@ -711,3 +711,46 @@ def test_slices_are_bounded_and_whole():
     assert [x for p in parts for x in p.column("id").to_pylist()] == list(range(len(texts)))
     assert all(0 < p.num_rows <= batches.ROWS for p in parts)
     assert all(p.num_rows == 1 or sum(len(t or "") for t in p.column("text").to_pylist()) <= batches.BYTES for p in parts)
+
+
+def test_toxicity_learns_from_all_labelled_rows(spark):
+    """A word that only labelled rows beyond the first 16,000 (by hash of doc_id) know to be toxic."""
+    from roomflux.llm.textmodel import held_out
+
+    ids = spark.range(25_000).withColumnRenamed("id", "doc_id")
+    first = ids.where(~held_out("doc_id")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(16_000).withColumn("first", F.lit(True))
+    rows = ids.join(first, "doc_id", "left").withColumn("toxic", (F.xxhash64("doc_id", F.lit(1)) % 4 == 0).cast("int"))
+    word = F.when(F.col("toxic") == 0, "mild").when(F.col("first"), "grim").otherwise("vile")
+    rows = rows.withColumn("text", F.concat_ws(" ", F.lit("calm"), F.concat(F.lit("n"), F.col("doc_id") % 50), word, F.lit("words"))).cache()
+    got = toxicity.toxicity_scores(rows.select("doc_id", "text"), rows.select("doc_id", "toxic")).where("held_out").join(rows.select("doc_id", "toxic"), "doc_id")
+    assert [tuple(r) for r in got.where("toxic != predicted").limit(5).collect()] == [] and got.where("toxic = 1").count() > 1000
+
+
+def test_each_labelled_row_is_passed_in_as_many_rounds(spark, monkeypatch):
+    """Shares, parts and rounds meet every labelled row, repeated ones once; parameters are averaged by what the shares met."""
+    from roomflux.llm import textmodel
+
+    monkeypatch.setattr(textmodel, "SHARE", 40)
+    monkeypatch.setattr(textmodel, "VISITS", 100)
+    monkeypatch.setattr(textmodel, "CHUNK", 300)
+    docs = spark.range(400).withColumnRenamed("id", "doc_id").withColumn("text", F.col("doc_id").cast("string")).withColumn("again", F.explode(F.array(F.lit(1), F.lit(2))))
+    labels = spark.range(400).select(F.col("id").alias("doc_id"), (F.col("id") % 3 == 0).cast("int").alias("toxic"))
+    free = {r["doc_id"] for r in labels.where(~textmodel.held_out("doc_id")).collect()}
+    found = textmodel.shares(docs, labels.where("doc_id < 350 or doc_id > 360"), "toxic", lambda: lambda text: (np.array([int(text)] * 3), int(text) % 2))
+    rows = found.rows.collect()
+    assert sorted(r["codes"][0] for r in rows) == sorted(free - set(range(350, 361)))
+    assert all(r["codes"] == [r["codes"][0]] * 3 and r["y"] == (r["codes"][0] % 3 == 0) and r["kind"] == r["codes"][0] % 2 for r in rows)
+    per_share = Counter(r["share"] for r in rows)
+    assert len(per_share) == -(-len(rows) // 40) and Counter(r["share"] for r in rows if r["part"] < 0) == {k: n // 5 for k, n in per_share.items()}
+    assert found.counts == tuple(sum(r["y"] == y and r["part"] >= 0 for r in rows) for y in (0, 1))
+
+    def learn(theta, mass, batches, turn):
+        for codes, _, _ in batches:
+            for x in codes:
+                theta[x[0]] += 1
+                mass[x[0]] += 2
+
+    theta, mass = textmodel.averaged(found, np.zeros(1000, np.float32), np.full(1000, 0.5, np.float32), learn)
+    trained = {r["codes"][0] for r in rows if r["part"] >= 0}
+    assert 1 < found.met < textmodel.ROUNDS
+    assert theta.tolist() == [found.met * (k in trained) for k in range(1000)] and mass.tolist() == [0.5 + 2 * found.met * (k in trained) for k in range(1000)]
