@@ -271,6 +271,10 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFra
 PARITY = 16
 #: Turns in which other sets take the place of the least one of a shingle; the result does not depend on it.
 TURNS = 2
+#: One of so many sets, by a hash, is compared with all that share a prefix shingle; then the others, where classes still differ.
+SHARES = (16, 1)
+#: Least prefix shingles of a set that tell whether a pair is met at a lesser one too.
+FIRSTS = 16
 #: Texts whose whole sets one task makes.
 WANTED = 500
 #: Texts that the common shingles are counted in, and how many of them must hold a shingle.
@@ -370,6 +374,21 @@ def print_pairs(sets: DataFrame, radius: int) -> DataFrame:
     return labelled.join(least, "label").where("a <> set").select("a", F.col("set").alias("b"))
 
 
+def meetings(left: DataFrame, narrow: DataFrame, possible, share: int = 1) -> DataFrame:
+    """Pairs (a < b) of sets of different label that share a shingle in ``left`` (set, shingle, label) and are ``possible``; of one in ``share`` sets with all.
+
+    A pair is left out where the first shingles of both tell that it meets at a lesser one too: it is never lost, and comes once
+    where it meets among these.
+    """
+    firsts = left.groupBy("set").agg(F.slice(F.sort_array(F.collect_list("shingle")), 1, FIRSTS).alias("firsts"))
+    full = left.join(narrow, "set").join(firsts, "set").withColumn("chosen", F.pmod(F.xxhash64("set", F.lit("share")), F.lit(share)) == 0)
+    x, y = full.alias("x"), full.where("chosen").alias("y")
+    once = (F.col("x.set") < F.col("y.set")) | ~F.col("x.chosen")
+    here = F.coalesce(F.array_min(F.array_intersect("x.firsts", "y.firsts")) >= F.col("x.shingle"), F.lit(True))
+    pairs = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.label") != F.col("y.label")) & once & here & possible("x", "y"))
+    return pairs.select(F.least("x.set", "y.set").alias("a"), F.greatest("x.set", "y.set").alias("b"))
+
+
 def alike_classes(sets: DataFrame, whole, similarity: float, radius: int = 3) -> DataFrame:
     """``set``, ``label`` (least set that links reach) of the sets that have a link; ``sets`` may repeat and holds the prefixes as ``shingles``.
 
@@ -377,8 +396,10 @@ def alike_classes(sets: DataFrame, whole, similarity: float, radius: int = 3) ->
     self-join of fingerprints and the least set of each prefix shingle propose the first candidates; they join large families
     by a number of tests in proportion to their size. Where classes still share a shingle, other sets of it take the place of
     the least for ``TURNS`` turns, which leaves few pairs of large families apart. Of the pairs that share a prefix
-    shingle, those that then still differ in class are tested pair by pair. Pairs are tested on whole sets unless lengths or
-    sketches show that too many members differ.
+    shingle, those that then still differ in class are tested pair by pair: first those of a share of the sets, whose links
+    join most of a large family, then the rest (``SHARES``). Shingles of the same sets count as one, and a pair is taken at the
+    least shingle where it meets, not at each. Pairs are tested on whole sets unless lengths or sketches show that too many
+    members differ.
     """
     postings = sets.select("set", F.explode("shingles").alias("shingle"))
     hubs = postings.groupBy("shingle").agg(F.min("set").alias("a"), F.max("set").alias("z")).where("a <> z").select("shingle", "a")
@@ -400,32 +421,34 @@ def alike_classes(sets: DataFrame, whole, similarity: float, radius: int = 3) ->
         release(own)
         return found
 
-    def undone(linked: DataFrame) -> DataFrame:
-        """``set``, ``shingle``, ``label`` where sets of several classes share a prefix shingle."""
-        left = materialize(shared.select("set", "shingle").join(connected_components(linked).toDF("set", "label"), "set", "left").withColumn("label", F.coalesce("label", "set")), "left")
-        several = left.groupBy("shingle").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("shingle")
+    def undone(rows: DataFrame, linked: DataFrame) -> DataFrame:
+        """``set``, ``shingle``, ``label`` where sets of several classes share a prefix shingle, of shingles with the same sets the least alone; releases ``rows``."""
+        left = materialize(rows.select("set", "shingle").join(connected_components(linked).toDF("set", "label"), "set", "left").withColumn("label", F.coalesce("label", "set")), "left")
+        release(rows)
+        marks = F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("set")).alias("p"), F.bit_xor(F.xxhash64("set", F.lit(1))).alias("q")
+        several = left.groupBy("shingle").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), *marks).where("lo <> hi")
+        several = several.groupBy("lo", "hi", "n", "p", "q").agg(F.min("shingle").alias("shingle")).select("shingle")
         rest = materialize(left.join(several.hint("merge"), "shingle", "left_semi"), "undone")
         release(left)
         return rest
 
     linked = tested(shared.where("a <> set").select("a", F.col("set").alias("b")).unionByName(print_pairs(sets, radius)).distinct())
-    left = undone(linked)
+    left = undone(shared, linked)
     for turn in range(1, TURNS + 1):
         # Another set of each shingle is its star now: the least by a hash that changes with the turn.
         hubs = left.groupBy("shingle").agg(F.min_by(F.struct("set", "label"), F.struct(F.xxhash64("set", F.lit(turn)), "set")).alias("hub"))
         pairs = left.join(hubs.hint("merge"), "shingle").where("label <> hub.label").select(F.least("set", "hub.set").alias("a"), F.greatest("set", "hub.set").alias("b")).distinct()
         linked = materialize(linked.unionByName(tested(pairs)), "linked")
-        release(left)
-        left = undone(linked)
-    full = left.join(narrow, "set")
-    x, y = full.alias("x"), full.alias("y")
-    rest = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.set") < F.col("y.set")) & (F.col("x.label") != F.col("y.label")) & possible("x", "y"))
-    rest = materialize(rest.select(F.col("x.set").alias("a"), F.col("y.set").alias("b")).distinct(), "rest")
-    for table in (shared, left, narrow):
-        release(table)
-    last = _alike(rest, whole, similarity)
-    release(rest)
-    return connected_components(linked.unionByName(last)).toDF("set", "label")
+        left = undone(left, linked)
+    for share in SHARES:
+        rest = materialize(meetings(left, narrow, possible, share).distinct(), "rest")
+        linked = materialize(linked.unionByName(_alike(rest, whole, similarity)), "linked")
+        release(rest)
+        if share > 1:
+            left = undone(left, linked)
+    release(left)
+    release(narrow)
+    return connected_components(linked).toDF("set", "label")
 
 
 def near_duplicate_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 3) -> DataFrame:

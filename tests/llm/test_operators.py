@@ -153,6 +153,42 @@ def test_near_duplicate_groups_are_those_of_brute_jaccard(spark):
     assert sorted(r["doc_id"] for r in simhash.keep_one(df).collect()) == sorted(set(group))
 
 
+def test_pairs_of_a_large_family_are_tested_once_and_few(spark, monkeypatch):
+    """A family of which one pair in eight is alike, and no star links many: the pairs made grow with its members, not their square."""
+    rng = np.random.default_rng(5)
+    base = [f"w{i}" for i in range(150)]
+    made = {}
+    for size in (80, 240):
+        rows = []
+        for k in range(size):
+            words = base[:]
+            for at in rng.choice(30, 2, replace=False):
+                words[5 * at] = f"x{k}y{at}"
+            rows.append(" ".join(words))
+        sets = [frozenset(simhash.shingle_hashes(t, 5).tolist()) for t in rows]
+        group = list(range(size))
+        for a in range(size):
+            for b in range(a):
+                if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]) and group[a] != group[b]:
+                    low, high = sorted((group[a], group[b]))
+                    group = [low if x == high else x for x in group]
+        df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(3)
+        pairs, join = [], type(df).join
+
+        def counted(self, other, on=None, how=None, join=join, pairs=pairs):
+            out = join(self, other, on, how)
+            if "x.label" in str(on):
+                pairs.append(out.count())
+            return out
+
+        with monkeypatch.context() as m:
+            m.setattr(type(df), "join", counted)
+            got = {r["row"]["doc_id"]: r["component_id"]["doc_id"] for r in simhash.near_duplicate_groups(df).collect()}
+        assert got == dict(enumerate(group))
+        made[size] = sum(pairs)
+    assert made[240] <= 5 * 240 and made[80] <= 5 * 80
+
+
 def test_shingles_in_many_texts_come_last(spark):
     df = spark.createDataFrame([(i, f"p{i} q{i} r{i} s{i} t{i} the line that all of them share") for i in range(20)], "doc_id long, text string")
     assert {tuple(r) for r in simhash.shingle_sets(df, 5, 0.8).select("n", "prefix").collect()} == {(8, 2)}
