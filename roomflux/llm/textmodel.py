@@ -59,41 +59,37 @@ def shares(docs: DataFrame, labels: DataFrame, label: str, make: Callable[[], Ca
     """Every labelled row outside the held-out fold, whole, as codes (and a kind) that the function built by ``make`` gives for its text.
 
     Rows are dealt to shares by a hash of doc_id and ordered by another, so that reruns agree; repeated rows count once. The
-    texts that have no label are told apart by a bitmap of fixed size, the others meet their labels in a join. A share is
-    written as one file and read by one task, row after row: no task holds more of it than a step takes.
+    texts that have no label are told apart by a bitmap of fixed size, the others meet their labels in the task of their share,
+    which gets both in order, the label first: texts are shuffled once, codes never. A share is written as one file and read by
+    one task, row after row: no task holds more of it than a step takes.
     """
     rows = learnable(labels, label)
     n = max(1, -(-rows.count() // SHARE))
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).where("doc_id is not null")
     text = likely(text.withColumn("__hash", F.xxhash64("doc_id")), "__hash", rows.select(F.xxhash64("doc_id"))).where("likely").select("doc_id", "text")
-    own = F.pmod(F.xxhash64(F.lit("share"), "doc_id"), F.lit(n)).cast("int").alias("share"), F.xxhash64(F.lit("order"), "doc_id").alias("place"), F.xxhash64("text").alias("of")
-    found = text.join(rows, "doc_id").select(*own, "doc_id", "y", "text")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = make()
-        for s in slices(batches):
-            made = [encode(t.as_py()) for t in s.column("text")]
-            kinds, codes = pa.array([kind for _, kind in made], pa.int32()), listed([codes for codes, _ in made])
-            yield pa.RecordBatch.from_arrays([*s.columns[:-1], kinds, codes], names=["share", "place", "of", "doc_id", "y", "kind", "codes"])
+    own = F.pmod(F.xxhash64(F.lit("share"), "doc_id"), F.lit(n)).cast("int").alias("share"), F.xxhash64(F.lit("order"), "doc_id").alias("place")
+    marks = rows.select(*own, F.lit(None).cast("long").alias("of"), "doc_id", "y", F.lit(None).cast("string").alias("text"))
+    found = marks.unionByName(text.select(*own, F.xxhash64("text").alias("of"), "doc_id", F.lit(None).cast("int").alias("y"), "text"))
+    found = found.repartitionById(n, F.col("share")).sortWithinPartitions("share", "place", "doc_id", F.col("text").isNotNull(), "of")
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, last = {}, None
-        for b in batches:
-            keep, parts = [], []
-            for share, doc, of, codes in zip(*(b.column(c).to_pylist() for c in ("share", "doc_id", "of")), b.column("codes"), strict=True):
-                row = doc, of, codes.values
-                again = last is not None and row[:2] == last[:2] and row[2].equals(last[2])
-                keep.append(not again)
-                if not again:
+        encode, at, last, mark = make(), {}, None, (None, None)
+        for s in slices(batches):
+            made = []
+            for share, doc, of, y, text in zip(*(s.column(c).to_pylist() for c in ("share", "doc_id", "of", "y", "text")), strict=True):
+                if text is None:
+                    mark = doc, y
+                elif doc == mark[0] and (doc, of, text) != last:
                     block, k = divmod(at.get(share, 0), LEFT_OUT)
-                    parts.append(-1 if k == LEFT_OUT - 1 else (block * (LEFT_OUT - 1) + k) % ROUNDS)
-                    at[share], last = at.get(share, 0) + 1, row
-            b = b.filter(pa.array(keep, pa.bool_()))
-            yield pa.RecordBatch.from_arrays([b.column("share"), pa.array(parts, pa.int32()), *(b.column(c) for c in ("y", "kind", "codes"))], names=["share", "part", "y", "kind", "codes"])
-
-    coded = bounded(found).mapInArrow(run, "share int, place long, of long, doc_id long, y int, kind int, codes array<long>")
-    coded = coded.repartitionById(n, F.col("share")).sortWithinPartitions("share", "place", "doc_id", "of")
-    kept = materialize(coded.mapInArrow(deal, "share int, part int, y int, kind int, codes array<long>"), "shares")
+                    part = -1 if k == LEFT_OUT - 1 else (block * (LEFT_OUT - 1) + k) % ROUNDS
+                    at[share], last = at.get(share, 0) + 1, (doc, of, text)
+                    codes, kind = encode(text)
+                    made.append((share, part, mark[1], kind, codes))
+            if made:
+                columns = [pa.array([x[k] for x in made], pa.int32()) for k in range(4)]
+                yield pa.RecordBatch.from_arrays([*columns, listed([x[4] for x in made])], names=["share", "part", "y", "kind", "codes"])
+
+    kept = materialize(bounded(found).mapInArrow(deal, "share int, part int, y int, kind int, codes array<long>"), "shares")
     counts = {r["y"]: r["count"] for r in kept.where("part >= 0").groupBy("y").count().collect()}
     per_share = sum(counts.values()) // n
     return Shares(kept, (counts.get(0, 0), counts.get(1, 0)), max(LEAST, min(ROUNDS, VISITS // max(1, per_share))))

@@ -790,3 +790,21 @@ def test_each_labelled_row_is_passed_in_as_many_rounds(spark, monkeypatch):
     trained = {r["codes"][0] for r in rows if r["part"] >= 0}
     assert 1 < found.met < textmodel.ROUNDS
     assert theta.tolist() == [found.met * (k in trained) for k in range(1000)] and mass.tolist() == [0.5 + 2 * found.met * (k in trained) for k in range(1000)]
+
+
+def test_labelled_texts_are_shuffled_once(spark, monkeypatch):
+    """Texts meet their labels where they are coded: no join deals them before, and codes are written as they are made."""
+    from roomflux.llm import textmodel
+
+    plans, materialize = [], textmodel.materialize
+
+    def seen(df, label="table"):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return materialize(df, label)
+
+    monkeypatch.setattr(textmodel, "materialize", seen)
+    docs = spark.range(100).select(F.col("id").alias("doc_id"), F.col("id").cast("string").alias("text"))
+    labels = spark.range(50).select(F.col("id").alias("doc_id"), (F.col("id") % 3 == 0).cast("int").alias("toxic"))
+    found = textmodel.shares(docs, labels, "toxic", lambda: lambda text: (np.array([int(text)]), 0))
+    assert len(plans) == 1 and "SortMergeJoin" not in plans[0] and plans[0].count("BroadcastHashJoin") == 1
+    assert all(r["codes"][0] < 50 for r in found.rows.collect())
