@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from roomflux.llm.batches import bounded, slices
 from roomflux.llm.spans import likely
 from roomflux.plans.components import connected_components
-from roomflux.plans.lineage import materialize, release
+from roomflux.plans.lineage import forget, materialize, release
 
 SEED = 42
 #: Odd multipliers of a 64-bit finaliser; a further fingerprint word is the mix of a shingle's hash with one of these.
@@ -356,12 +356,15 @@ def shingle_sets(docs: DataFrame, words: int, similarity: float, common: tuple[n
 
 def _alike(pairs: DataFrame, whole, similarity: float) -> DataFrame:
     """Those of ``pairs`` (a, b: sets) whose Jaccard similarity is ``similarity`` or more; ``whole`` gives the shingles of named sets."""
+    if pairs.isEmpty():
+        return pairs.limit(0)
     named = pairs.select(F.col("a").alias("set")).unionByName(pairs.select(F.col("b").alias("set"))).distinct()
     held = materialize(whole(named), "held")
     both = pairs.join(held.toDF("a", "__a"), "a").join(held.toDF("b", "__b"), "b")
     shared = F.size(F.array_intersect("__a", "__b"))
     found = materialize(both.where(shared >= similarity * (F.size("__a") + F.size("__b") - shared) - 1e-9).select("a", "b"), "alike")
     release(held)
+    forget(found.sparkSession)
     return found
 
 
@@ -399,7 +402,8 @@ def alike_classes(sets: DataFrame, whole, similarity: float, radius: int = 3) ->
     shingle, those that then still differ in class are tested pair by pair: first those of a share of the sets, whose links
     join most of a large family, then the rest (``SHARES``). Shingles of the same sets count as one, and a pair is taken at the
     least shingle where it meets, not at each. Pairs are tested on whole sets unless lengths or sketches show that too many
-    members differ.
+    members differ. A step that finds no link leaves classes as they are, so they are not made again; where nothing is undone
+    the steps end.
     """
     postings = sets.select("set", F.explode("shingles").alias("shingle"))
     hubs = postings.groupBy("shingle").agg(F.min("set").alias("a"), F.max("set").alias("z")).where("a <> z").select("shingle", "a")
@@ -421,34 +425,49 @@ def alike_classes(sets: DataFrame, whole, similarity: float, radius: int = 3) ->
         release(own)
         return found
 
-    def undone(rows: DataFrame, linked: DataFrame) -> DataFrame:
+    def undone(rows: DataFrame, classes: DataFrame) -> DataFrame:
         """``set``, ``shingle``, ``label`` where sets of several classes share a prefix shingle, of shingles with the same sets the least alone; releases ``rows``."""
-        left = materialize(rows.select("set", "shingle").join(connected_components(linked).toDF("set", "label"), "set", "left").withColumn("label", F.coalesce("label", "set")), "left")
+        left = materialize(rows.select("set", "shingle").join(classes, "set", "left").withColumn("label", F.coalesce("label", "set")), "left")
         release(rows)
         marks = F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("set")).alias("p"), F.bit_xor(F.xxhash64("set", F.lit(1))).alias("q")
         several = left.groupBy("shingle").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), *marks).where("lo <> hi")
         several = several.groupBy("lo", "hi", "n", "p", "q").agg(F.min("shingle").alias("shingle")).select("shingle")
         rest = materialize(left.join(several.hint("merge"), "shingle", "left_semi"), "undone")
         release(left)
+        forget(rest.sparkSession)
         return rest
 
+    def joined(found: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """All links, ``found`` with them, and the classes (set, label) that they make."""
+        every = materialize(linked.unionByName(found), "linked")
+        return every, connected_components(every).toDF("set", "label")
+
     linked = tested(shared.where("a <> set").select("a", F.col("set").alias("b")).unionByName(print_pairs(sets, radius)).distinct())
-    left = undone(shared, linked)
+    classes = connected_components(linked).toDF("set", "label")
+    left = undone(shared, classes)
     for turn in range(1, TURNS + 1):
+        if left.isEmpty():
+            break
         # Another set of each shingle is its star now: the least by a hash that changes with the turn.
         hubs = left.groupBy("shingle").agg(F.min_by(F.struct("set", "label"), F.struct(F.xxhash64("set", F.lit(turn)), "set")).alias("hub"))
         pairs = left.join(hubs.hint("merge"), "shingle").where("label <> hub.label").select(F.least("set", "hub.set").alias("a"), F.greatest("set", "hub.set").alias("b")).distinct()
-        linked = materialize(linked.unionByName(tested(pairs)), "linked")
-        left = undone(left, linked)
+        found = tested(pairs)
+        if not found.isEmpty():
+            linked, classes = joined(found)
+            left = undone(left, classes)
     for share in SHARES:
+        if left.isEmpty():
+            break
         rest = materialize(meetings(left, narrow, possible, share).distinct(), "rest")
-        linked = materialize(linked.unionByName(_alike(rest, whole, similarity)), "linked")
+        found = _alike(rest, whole, similarity)
         release(rest)
-        if share > 1:
-            left = undone(left, linked)
+        if not found.isEmpty():
+            linked, classes = joined(found)
+            if share > 1:
+                left = undone(left, classes)
     release(left)
     release(narrow)
-    return connected_components(linked).toDF("set", "label")
+    return classes
 
 
 def near_duplicate_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 3) -> DataFrame:

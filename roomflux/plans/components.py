@@ -29,7 +29,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
         large = materialize(both.join(least.hint("merge"), "a").where("b > a").select(F.col("b").alias("a"), F.col("least").alias("b")).distinct(), "large")
         release(links)
         least = large.groupBy("a").agg(F.min("b").alias("least"))
-        below = large.join(least.hint("merge"), "a").where("b <> least").select(F.col("b").alias("a"), F.col("least").alias("b"))
-        links = materialize(below.unionByName(least.select("a", F.col("least").alias("b"))).distinct(), "links")
+        # The row of the least itself hooks its own node, so the aggregate is made once.
+        small = large.join(least.hint("merge"), "a").select(F.when(F.col("b") == F.col("least"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("least").alias("b"))
+        links = materialize(small.distinct(), "links")
         release(large)
     raise RuntimeError(f"components not found in {max_rounds} rounds")

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -153,6 +154,34 @@ def test_near_duplicate_groups_are_those_of_brute_jaccard(spark):
     assert sorted(r["doc_id"] for r in simhash.keep_one(df).collect()) == sorted(set(group))
 
 
+def test_rounds_that_find_nothing_end_and_leave_no_shuffles(spark, monkeypatch):
+    """Texts that share a passage and are not alike: classes are made once, and the driver keeps no shuffles of rounds that are done."""
+    tracker = spark._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker()
+    rows = [" ".join([f"all{i}" for i in range(40)] + [f"t{k}w{i}" for i in range(60)]) for k in range(20)]
+    rows.append(rows[0] + " end")
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    calls, components = [], simhash.connected_components
+
+    def counted(edges):
+        calls.append(1)
+        return components(edges)
+
+    monkeypatch.setattr(simhash, "connected_components", counted)
+    spark._jvm.System.gc()
+    time.sleep(2)
+    before = tracker.shuffleStatuses().size()
+    got = {r["row"]["doc_id"]: r["component_id"]["doc_id"] for r in simhash.near_duplicate_groups(df).collect()}
+    assert got == {k: 0 if k == 20 else k for k in range(21)}
+    assert len(calls) == 2  # of fingerprints, of sets
+    left = []
+    for _ in range(20):
+        left.append(tracker.shuffleStatuses().size() - before)
+        if left[-1] <= 30:
+            break
+        time.sleep(0.5)
+    assert left[-1] <= 30, left
+
+
 def test_pairs_of_a_large_family_are_tested_once_and_few(spark, monkeypatch):
     """A family of which one pair in eight is alike, and no star links many: the pairs made grow with its members, not their square."""
     rng = np.random.default_rng(5)
