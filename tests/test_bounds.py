@@ -34,6 +34,19 @@ def test_search_ends_where_its_sql_does(spark, long_building, name):
     same(spark, long_building, name)
 
 
+def test_searches_go_on_to_the_last_cell(spark, long_building):
+    found = {name: registry.queries()[name](spark, long_building).toPandas() for name in ("shortest_path", "route_alternatives", "unreachable", "walk_minutes", "bfs_parent", "via_parent", "route_points", "route_steps")}
+    reached = {level * 1_000_000 + i * 10_000 + j for level in (1, 2) for i in (0, 1, 2) for j in range(LONG) if i < 2 or j % 3}
+    for name in ("shortest_path", "route_alternatives", "walk_minutes", "bfs_parent"):
+        assert set(found[name]["node"]) == reached
+    assert set(found["unreachable"]["node"]) == {level * 1_000_000 + 50_000 + j for level in (1, 2) for j in range(LONG) if j % 3}
+    # The farthest cell of the other level is 204 along, 1 across and a portal away.
+    assert found["shortest_path"]["dist"].max() == found["route_points"]["dist"].max() == 208
+    assert (found["route_alternatives"]["by_first"].max(), found["route_alternatives"]["by_second"].max()) == (208, 206)
+    assert found["bfs_parent"]["depth"].max() == 205 and found["via_parent"]["depth"].max() > 200
+    assert found["route_steps"]["points"].sum() == len(found["route_points"])
+
+
 def test_bitmap_holds_every_cell(spark, long_building):
     same(spark, long_building, "bitmap_roundtrip")
 
