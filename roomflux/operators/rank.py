@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from roomflux.operators.spatial import nearest_points
+from roomflux.operators.spatial import nearest_ahead
 
 
 def natural_order(code: Column) -> list[Column]:
@@ -31,5 +31,8 @@ def nearest_per_kind(df: DataFrame, kind: str, distance: Column, value: str) ->
 
 
 def directional_neighbour(df: DataFrame, radius: float) -> DataFrame:
-    """For each point (id, x, y) the nearest other point to its right, within 45 degrees and ``radius``; by distance, then id."""
-    return nearest_points(df, df, radius, ahead=True).select("id", F.col("near").alias("neighbour"))
+    """For each point (id, x, y) the nearest other point to its right, within 45 degrees, however far; by distance, then id.
+
+    ``radius``: how far most points have to look; the answer does not depend on it.
+    """
+    return nearest_ahead(df, radius).select("id", F.col("near").alias("neighbour"))

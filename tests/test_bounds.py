@@ -129,6 +129,28 @@ def test_nearest_points_by_tiles(spark, ahead):
     assert {r["id"]: r["near"] for r in P.nearest_points(df, df, 3.0, ahead).collect()} == want
 
 
+@pytest.mark.parametrize("asked", [7, 1 << 20])
+def test_neighbours_ahead_are_found_however_far(spark, monkeypatch, asked):
+    import random
+
+    from roomflux.operators import rank as R
+    from roomflux.operators import spatial as P
+
+    monkeypatch.setattr(P, "BLOCK", 8)
+    monkeypatch.setattr(P, "ASKED", asked)
+    random.seed(5)
+    pts = [(k, round(random.choice([random.gauss(0, 2), random.uniform(-900, 900)]), 1), round(random.choice([random.gauss(0, 2), random.uniform(-300, 300)]), 1)) for k in range(200)]
+    pts += [(1000 + p[0], *p[1:]) for p in pts[:60]] + [(2000 - k, 5000.0 + 100 * (k // 5), 100.0 * (k % 5)) for k in range(25)]
+    want = {}
+    for p in pts:
+        near = [((q[1] - p[1]) ** 2 + (q[2] - p[2]) ** 2, q[0]) for q in pts if q[1] > p[1] and abs(q[2] - p[2]) <= q[1] - p[1]]
+        if near:
+            want[p[0]] = min(near)[1]
+    odd = [(9000, None, 1.0), (9001, float("nan"), 1.0), (9002, 1.0, float("inf"))]
+    got = R.directional_neighbour(spark.createDataFrame(pts + odd, "id long, x double, y double"), 6.0).collect()
+    assert {r["id"]: r["neighbour"] for r in got} == want and len(got) == len(want)
+
+
 def test_copies_of_doors_and_walls_meet_once(spark):
     from roomflux.operators import shapes as SH
 
