@@ -227,6 +227,20 @@ def test_shingles_in_many_texts_come_last(spark):
         assert own == sorted(own) and sum(own) == 3
 
 
+@pytest.mark.parametrize("counted, common", [(4, 2), (10**9, 2), (4, 10**9)])
+def test_groups_do_not_depend_on_the_order_of_shingles(spark, monkeypatch, counted, common):
+    monkeypatch.setattr(simhash, "COUNTED", counted)
+    monkeypatch.setattr(simhash, "COMMON", common)
+    lines = [[f"w{k}x{j}" for j in range(60)] for k in range(8)]
+    texts = [" ".join([*line[:cut], "changed", *line[cut + 1 :], *"the line that all of them share".split()]) for line in lines for cut in (0, 30, 59)]
+    got = {r["row"]["doc_id"]: r["component_id"]["doc_id"] for r in simhash.near_duplicate_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in texts]
+    want = {}
+    for i, x in enumerate(sets):
+        want[i] = next((want[j] for j in range(i) if len(x & sets[j]) >= 0.8 * len(x | sets[j])), i)
+    assert got == want and len(set(want.values())) < len(texts)
+
+
 BASE = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
     "ip": r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)",
